@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import features, orphans, rejects, spikes
+from tidemark.operators.seats import last_seats
 from tidemark.session import table
 
 FEEDS = {"raw_battle_lines": rejects.BATTLE_FORMAT, "raw_leaderboard_lines": rejects.LEADERBOARD_FORMAT}
@@ -64,17 +65,6 @@ def p3_report(spark: SparkSession, sf: str) -> DataFrame:
     return orphans.orphan_report(table(spark, sf, "battle_rows"), p3_found(spark, sf), "row_id", "commit_time")
 
 
-def last_seats(rows: DataFrame) -> DataFrame:
-    """One row per (user, session): the one ingested last (ties: the larger row_id). Users, sessions non-null."""
-    value = F.struct("commit_time", "team", "battle_score", "victories", "early_quit", "team_score_top_20_percent")
-    return (
-        rows.where(F.col("user_id").isNotNull() & F.col("session_id").isNotNull())
-        .groupBy("user_id", "session_id")
-        .agg(F.max_by(value, F.struct("ingest_time", "row_id")).alias("v"))
-        .select("user_id", "session_id", "v.*")
-    )
-
-
 def feature_events(spark: SparkSession, sf: str) -> DataFrame:
     """Battles (last record per user and session) with their mission. Users whose rows name no session keep a row without one."""
     rows = table(spark, sf, "battle_rows").drop("faction")
