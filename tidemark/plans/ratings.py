@@ -264,3 +264,26 @@ def knn_bootstrap(s, d):
 y as (select *, sum(c) over (order by row_id) g from x) select min(row_id) "first", max(row_id) "last", any_value(v) "value", count(*) "rows" from y group by g""")
 def session_islands(s, d):
     return R.session_islands(table(s, d, "battle_rows"), "row_id", "session_id")
+
+
+@query()
+def v1_exact(s, d):
+    from tidemark.operators.exact import rate_exact
+
+    return rate_exact(_seats(s, d), _board(s, d), _modes(s, d), "v1")
+
+
+@query()
+def v2_exact(s, d):
+    from tidemark.operators.exact import rate_exact
+
+    return rate_exact(_seats(s, d), _board(s, d), _modes(s, d), "v2")
+
+
+@query()
+def v2_slices(s, d):
+    """The board after weekly slices of the pool variant."""
+    from tidemark.operators.exact import rate_slices
+
+    week = 7 * 86_400_000
+    return rate_slices(_seats(s, d), _board(s, d), _modes(s, d), "v2", [1_356_998_400_000 + i * week for i in range(7)])
