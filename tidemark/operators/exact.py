@@ -10,6 +10,7 @@ from __future__ import annotations
 import bisect
 import math
 from collections.abc import Callable
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -49,18 +50,25 @@ def _delta(won: bool, score: int, opp: int | None, mmr: int, known: bool, quit_:
     return max(_trunc(base + mul * 35), 0) if won else _trunc(base - mul * 35)
 
 
+def _sessions(pdf: pd.DataFrame):
+    """(at, session, members) in order of (time, id), members by user."""
+    rows = pdf.sort_values(["at", "session_id", "user_id"]).itertuples(index=False)
+    for (at, session), g in groupby(rows, key=lambda r: (r.at, r.session_id)):
+        yield at, session, list(g)
+
+
 def fold_v1(pdf: pd.DataFrame, board: dict[int, list[int]], least_index: int = 1000) -> pd.DataFrame:
     """board: user -> [mmr, battles, score sum], changed in place. Sessions by (time, id), members by user."""
     index = sorted((b[2] // b[1], u) for u, b in board.items() if b[1] > 5)
     out = []
-    for (at, session), g in pdf.sort_values(["at", "session_id", "user_id"]).groupby(["at", "session_id"], sort=True):
-        sides = {s: g[g.faction == s] for s in R.SIDES}
-        opp = {s: _opponents([board[u][0] for u in x.user_id if u in board and board[u][1] > 5]) for s, x in sides.items()}
-        won = {s: bool(x.won.any()) for s, x in sides.items()}
-        total, n = int(g.total_score.iloc[0]), sum(len(x) for x in sides.values())
+    for at, session, g in _sessions(pdf):
+        sides = {s: [r for r in g if r.faction == s] for s in R.SIDES}
+        opp = {s: _opponents([board[r.user_id][0] for r in x if r.user_id in board and board[r.user_id][1] > 5]) for s, x in sides.items()}
+        won = {s: any(r.won for r in x) for s, x in sides.items()}
+        total, n = g[0].total_score, len(g)
         todo = []
         for s, other in (R.SIDES, R.SIDES[::-1]):
-            for r in sides[s].itertuples():
+            for r in sides[s]:
                 norm = _trunc(1600.0 * n / total * r.score, 0, 2**32 - 1) if total else 0
                 b = board.get(r.user_id)
                 todo.append((r, _delta(won[s], norm, opp[other], b[0] if b else 0, bool(b and b[1] > 5), r.quit, r.top20)))
@@ -93,12 +101,11 @@ def fold_v1(pdf: pd.DataFrame, board: dict[int, list[int]], least_index: int = 1
 
 def fold_v2(pdf: pd.DataFrame, board: dict[int, list[int]]) -> pd.DataFrame:
     out = []
-    for (at, session), g in pdf.sort_values(["at", "session_id", "user_id"]).groupby(["at", "session_id"], sort=True):
-        u = g.user_id.to_numpy()
-        m = np.array([board[x][0] if x in board else 0 for x in u], float)
-        b = np.array([board[x][1] if x in board else 0 for x in u], float)
-        sc = g.score.to_numpy(np.int64)
-        adj = np.maximum(sc + np.where(g.won, sc // 4, 0) + np.where(g.top20, sc // 4, 0) - np.where(g.quit, sc // 2, 0), 0).astype(float)
+    for at, session, g in _sessions(pdf):
+        old = [board.get(r.user_id) for r in g]
+        m = np.array([x[0] if x else 0 for x in old], float)
+        b = np.array([x[1] if x else 0 for x in old], float)
+        adj = np.array([max(r.score + r.won * (r.score // 4) + r.top20 * (r.score // 4) - r.quit * (r.score // 2), 0) for r in g], float)
         k = np.sqrt(2.0) ** np.minimum(0, b - 6)
         avg = (m * k).sum() / k.sum()
         ratio = lambda t, d: np.where((t == d) | (d < 1e-8), 1.0, t / np.where(d < 1e-8, 1.0, d))
@@ -107,7 +114,7 @@ def fold_v2(pdf: pd.DataFrame, board: dict[int, list[int]]) -> pd.DataFrame:
         dec, inc = 0.5 / (8 * ratio(np.full(len(m), avg), m) ** 0.35 + 1), 0.5 / (4 * ratio(m, np.full(len(m), avg)) + 1)
         pool, norm = ((dec + get) * m * k + give * max(avg, 500.0) - get * m).sum(), (inc / k * adj).sum()
         delta = pool * adj * inc / (norm * k) - m * (dec + get) / k if norm else np.full(len(m), np.nan)
-        for r, d in zip(g.itertuples(), delta):
+        for r, d in zip(g, delta):
             d, old = _trunc(float(d)), board.get(r.user_id)
             board[r.user_id] = [max((old[0] if old else 0) + d, 0), (old[1] if old else 0) + 1, (old[2] if old else 0) + r.score]
             out.append((session, r.user_id, at, d, board[r.user_id][0], board[r.user_id][1]))
