@@ -37,10 +37,11 @@ def feature_table(long: DataFrame, entity: str, kind: str, kinds: list[str], met
     place = F.coalesce(F.element_at(F.create_map(*[x for i, k in enumerate(kinds) for x in (F.lit(k), F.lit(i))]), F.col(kind)), F.lit(-1)) if kinds else F.lit(-1)
     slim = long.where(F.col(entity).isNotNull()).select(F.col(entity), place.alias("_kind"), *metrics).repartition(F.col(entity))
     wide = slim.groupBy(entity).pivot("_kind", list(range(len(kinds))) or [0]).agg(*[F.first(m).alias(m) for m in metrics])
+    named = (lambda i, m: f"{i}_{m}") if len(metrics) > 1 else (lambda i, m: str(i))  # as pivot names them
     return wide.select(
         F.col(entity),
         *[
-            (F.col(f"{i}_{m}") if m == recency else F.coalesce(F.col(f"{i}_{m}"), F.lit(0).cast("long"))).alias(column_name(k, m))
+            (F.col(named(i, m)) if m == recency else F.coalesce(F.col(named(i, m)), F.lit(0).cast("long"))).alias(column_name(k, m))
             for i, k in enumerate(kinds) for m in metrics
         ],
     )

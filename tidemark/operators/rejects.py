@@ -107,27 +107,34 @@ def _quoted(df: DataFrame, fmt: Format) -> DataFrame:
     """Splits at double quotes: pieces at odd places lie inside quotes, so only the even ones separate."""
     line = F.regexp_replace(F.regexp_replace(F.col("_line"), "^\\uFEFF", ""), "\r\\z", "")
     line = F.regexp_replace(F.regexp_replace(line, ESC, ESC + "a"), SEP, ESC + "b")
-    df = df.withColumn("_p", F.split(line, '"', -1)).withColumn("_n", F.size("_p"))
-    n, sep = F.col("_n"), fmt.sep
+    # Lambdas see only their element and its place: what they refer to else is computed anew for each element.
+    p = F.split(line, '"', -1)
+    n, sep = F.size(p), fmt.sep
+    df = df.withColumn("_first", F.get(p, F.lit(0))).withColumn("_last", F.get(p, n - 1)).withColumn("_n", n)
+    df = df.withColumn("_inner", F.slice(p, F.lit(2), F.greatest(n - 2, F.lit(0))))
+    first, last, n = F.col("_first"), F.col("_last"), F.col("_n")
 
-    def misplaced(x: Column, i: Column) -> Column:
-        starts, ends = x.startswith(sep), x.endswith(sep)
-        return (i % 2 == 0) & (n > 1) & (x != "") & F.when(i == 0, ~ends).when(i == n - 1, ~starts).otherwise(~(starts & ends))
+    def misplaced(x: Column, j: Column) -> Column:
+        return (j % 2 == 1) & (x != "") & ~(x.startswith(sep) & x.endswith(sep))
 
-    def rebuilt(x: Column, i: Column) -> Column:
-        even = F.regexp_replace(x, f"[{BLANKS}]*{sep}[{BLANKS}]*", SEP)
-        even = F.when(i == 0, F.ltrim(even, F.lit(BLANKS))).otherwise(even)
-        even = F.when(i == n - 1, F.rtrim(even, F.lit(BLANKS))).otherwise(even)
-        return F.when(i % 2 == 1, x).when((x == "") & (i > 0) & (i < n - 1), F.lit('"')).otherwise(even)
+    def even(x: Column) -> Column:
+        return F.regexp_replace(x, f"[{BLANKS}]*{sep}[{BLANKS}]*", SEP)
 
+    def rebuilt(x: Column, j: Column) -> Column:
+        return F.when(j % 2 == 0, x).when(x == "", F.lit('"')).otherwise(even(x))
+
+    beside = (n > 1) & (((first != "") & ~first.endswith(sep)) | ((last != "") & ~last.startswith(sep)))
     df = df.withColumn(
         "_broken",
         F.when(F.col("_line").isNull(), F.lit("line is null"))
         .when(n % 2 == 0, F.lit("unclosed quote"))
-        .when(F.size(F.filter("_p", misplaced)) > 0, F.lit("text beside quotes")),
+        .when(beside | (F.size(F.filter("_inner", misplaced)) > 0), F.lit("text beside quotes")),
     )
+    blank = F.lit(BLANKS)
+    whole = F.when(n == 1, F.btrim(even(first), blank)).otherwise(
+        F.concat(F.ltrim(even(first), blank), F.array_join(F.transform("_inner", rebuilt), ""), F.rtrim(even(last), blank)))
     back = lambda x: F.regexp_replace(F.regexp_replace(x, ESC + "b", SEP), ESC + "a", ESC)
-    values = F.transform(F.split(F.array_join(F.transform("_p", rebuilt), ""), SEP, -1), back)
+    values = F.transform(F.split(whole, SEP, -1), back)
     df = df.withColumn("_v", F.when(F.col("_broken").isNull(), values))
     k = len(fmt.fields)
     count = F.when(F.size("_v") != k, F.concat(F.lit(f"expected {k} fields, found "), F.size("_v").cast("string")))
