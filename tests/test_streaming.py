@@ -23,10 +23,10 @@ def test_closed_sessions(spark, tmp_path):
 def test_last_known(spark, tmp_path):
     src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
     schema = "pid long, tick long, memory long, cpu_time long"
-    spark.createDataFrame([(1, 1, 5, 5), (1, 2, 6, 6)], schema).write.mode("append").parquet(src)
+    spark.createDataFrame([(1, 1, 5, 5), (1, 2, 6, 6)], schema).coalesce(1).write.mode("append").parquet(src)
     run = lambda: jobs.run_once(jobs.last_known(jobs.stream_table(spark, src, schema)), out, ck)
     run()
-    spark.createDataFrame([(1, 2, 6, 6), (1, 3, 7, 7), (2, 1, 1, 1)], schema).write.mode("append").parquet(src)
+    spark.createDataFrame([(1, 2, 6, 6), (1, 3, 7, 7), (2, 1, 1, 1)], schema).coalesce(1).write.mode("append").parquet(src)
     run()
     assert sorted((r.pid, r.tick) for r in spark.read.parquet(out).collect()) == [(1, 1), (1, 2), (1, 3), (2, 1)]
 

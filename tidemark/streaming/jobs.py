@@ -37,13 +37,8 @@ OUT = "pid long, tick long, memory long, cpu_time long, was_in_time boolean"
 def last_known(samples: DataFrame) -> DataFrame:
     """(pid, tick, memory, cpu_time, alive) whenever a process is sampled; state is the last sample per pid.
 
-    A pid's state is dropped after a day without samples (the unbounded state of a poller that never forgets)."""
+    Nothing is forgotten, so the state holds one small row per pid ever seen; samples not later than it are dropped."""
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            memory, cpu, tick = state.get
-            state.remove()
-            yield pd.DataFrame({"pid": [key[0]], "tick": [tick], "memory": [0], "cpu_time": [cpu], "was_in_time": [False]})
-            return
         last = state.get if state.exists else (0, 0, -1)
         rows = pd.concat(list(batches)).sort_values("tick")
         rows = rows[rows.tick > last[2]]
@@ -51,9 +46,8 @@ def last_known(samples: DataFrame) -> DataFrame:
             r = rows.iloc[-1]
             state.update((int(r.memory), int(r.cpu_time), int(r.tick)))
             yield rows.assign(pid=key[0], was_in_time=True)[["pid", "tick", "memory", "cpu_time", "was_in_time"]]
-        state.setTimeoutDuration(86_400_000)
 
-    return samples.groupBy("pid").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return samples.groupBy("pid").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
