@@ -50,7 +50,7 @@ def plan_mix(available: list[tuple[str, int]], targets: list[tuple[str, float, i
     bound = max([1.0, *(abs(raw[s] - mean) / 0.95 for s in raw)])
     out = []
     for s, w, r in live:
-        want = min(w * budget, caps[s])
+        want = float(min(w * budget, caps[s]))
         t = have.get(s, 0)
         out.append({"source": s, "share": w, "repeats": r, "have": t, "want": want, "passes": min(r, math.ceil(want / t)) if t else 0, "tilt": (raw[s] - mean) / bound})
     return out
