@@ -113,3 +113,41 @@ def p5_curves(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_reasons, p2_battle_records, p2_leaderboard_records, p3_found, p3_report, p4_features, p4_features_long, p5_found, p5_curves)}
+
+
+def _dangling(field: str, key: str, parent: str, parent_key: str, start: str, end: str) -> str:
+    return (f"select row_id, '{field}' field, (timestamp '1970-01-01' + to_milliseconds(commit_time))::date \"day\" from battle_rows b where {key} is not null and not exists "
+            f"(select 1 from {parent} p where {parent_key} = {key} and p.{start} <= b.commit_time and (p.{end} is null or b.commit_time < p.{end}))")
+
+
+_P3 = " union all ".join([
+    _dangling("user_id", "b.user_id", "registrations", "p.user_id", "registered_time", "deleted_time"),
+    _dangling("session_id", "b.session_id", "session_mode", "p.session_id", "opened_time", "removed_time"),
+    _dangling("faction", "nullif(lower(trim(b.faction)), '')", "factions", "lower(trim(p.faction))", "opened_time", "closed_time"),
+])
+_NUM = "regexp_full_match({v}, '[0-9]+') and length(ltrim({v}, '0')) <= 20 and try_cast('0' || {v} as hugeint) between {lo} and {hi}"
+_FIELD = '("(?:[^"]|"")*"|[^";]*)'
+_P2_BATTLE = f"""with x as (select line_id, regexp_extract(regexp_replace(regexp_replace(line, '^\ufeff', ''), '\\r\\z', ''), '\\A{";".join([_FIELD] * 10)}\\z', ['f0', 'f1', 'f2', 'f3', 'f4', 'f5', 'f6', 'f7', 'f8', 'f9']) s from raw_battle_lines),
+v as (select line_id, {", ".join(f"case when s.f{i}[1] = chr(34) then replace(s.f{i}[2:-2], repeat(chr(34), 2), chr(34)) else trim(s.f{i}, ' ' || chr(9)) end v{i}" for i in range(9))} from x)
+select 'raw_battle_lines' feed, line_id from v where not coalesce(({_NUM.format(v="v0", lo=1, hi=2**63 - 1)}) and regexp_full_match(v1, '[0-9a-fA-F]{{1,16}}')
+  and ({_NUM.format(v="v2", lo=1262304000000, hi=1735689599999)}) and ({_NUM.format(v="v3", lo=1, hi=2)}) and (v4 = '' or {_NUM.format(v="v4", lo=0, hi=2**32 - 1)})
+  and v5 in ('', '0', '1') and v6 in ('', '0', '1') and v7 in ('', '0', '1') and v8 <> '', false)"""
+_BARE = "regexp_replace(trim({v}, ' ' || chr(9)), '\\A\"((?s:.*))\"\\z', '\\1')"
+_P2_BOARD = f"""with t as (select line_id, trim(line, ' ' || chr(9) || chr(13)) t from raw_leaderboard_lines),
+e as (select line_id, t, starts_with(t, '{{') a, ends_with(t, '}}') b, case when starts_with(t, '{{') and ends_with(t, '}}') and length(t) > 1 then t[2:-2] else t end i from t),
+p as (select *, list_transform(string_split(i, ','), lambda q: string_split(q, ':')) q from e),
+k as (select *, list_transform(q, lambda z: {_BARE.format(v="z[1]")}) ks, list_transform(q, lambda z: {_BARE.format(v="z[2]")}) vs from p)
+select 'raw_leaderboard_lines' feed, line_id from k where not coalesce((a = b) and (not a or length(t) > 1) and len(list_filter(q, lambda z: len(z) <> 2)) = 0 and len(list_distinct(ks)) = len(ks) and list_contains(ks, 'user_id')
+  and len(list_filter(list_zip(ks, vs), lambda z: not coalesce(case when z[1] = 'user_id' then {_NUM.format(v="z[2]", lo=1, hi=2**63 - 1)} when z[1] = 'last_session' then {_NUM.format(v="z[2]", lo=0, hi=2**63 - 1)}
+    when z[1] in ('mmr', 'battles', 'victories', 'early_quites', 'top_20', 'battle_score') then {_NUM.format(v="z[2]", lo=0, hi=2**32 - 1)} end, false))) = 0, false)"""
+
+ORACLE = {
+    "p2_found": f"select * from ({_P2_BATTLE}) union all select * from ({_P2_BOARD})",
+    "p3_found": f"select row_id, field from ({_P3})",
+    "p3_report": f"select field, \"day\", count(*) orphans from ({_P3}) group by 1, 2",
+    "p4_features_long": """with s as (select user_id, session_id, commit_time, battle_score, early_quit, team_score_top_20_percent t from battle_rows where user_id is not null and session_id is not null
+  qualify row_number() over (partition by user_id, session_id order by ingest_time desc nulls last, row_id desc) = 1),
+m as (select distinct session_id_str session_id, mission from session_mission where mission is not null and session_id_str is not null)
+select user_id, mission, count(*) battles, (select max(commit_time) from battle_rows) - max(commit_time) since, coalesce(sum(battle_score), 0)::bigint battle_score,
+  coalesce(sum(early_quit::int), 0)::bigint early_quit, coalesce(sum(t::int), 0)::bigint top_20 from s join m using (session_id) group by 1, 2""",
+}
