@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import cut
+
 SEP, ESC = "\u0001", "\u0002"
 BLANKS = " \t"
 
@@ -186,8 +188,9 @@ def split_records(lines: DataFrame, fmt: Format, line: str = "line", key: tuple[
     """
     base = lines.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(key)], F.col(line).alias("_line"))
     base = base.withColumn("_h", F.xxhash64("_line"))
-    parsed = _quoted(base, fmt) if fmt.style == "quoted" else _pairs(base, fmt)
     ids = [f"_key{i}" for i in range(len(key))] + ["_h"]
+    # The parsed lines feed the dictionary, the join back and the result: parsing them once is worth a checkpoint.
+    parsed = cut((_quoted(base, fmt) if fmt.style == "quoted" else _pairs(base, fmt)).select(*ids, "_line", "_broken", "_kv"))
     checked = F.array(*[F.lit(f.name) for f in fmt.fields if f.checked])
     cells = parsed.where(F.col("_kv").isNotNull()).select(*ids, F.explode(F.map_filter("_kv", lambda k, _: F.array_contains(checked, k))).alias("_c", "_x"))
     dictionary = (
