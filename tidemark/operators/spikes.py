@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut
+
 SEASONS = 4
 PARAMS = "src string, n long, a1 double, b1 double, s1 array<double>, cut1 double, a2 double, b2 double, s2 array<double>, cut2 double"
 
@@ -176,7 +178,7 @@ def implausible(
     ordered by id. Empty table: empty result. Extra columns are ignored.
     """
     x0, x1, x2 = chain
-    rows = (
+    rows = cut(
         table.select(F.col(record).alias("id"), F.lower(F.btrim(F.col(source))).alias("src"), F.col(at).alias("at"), *[F.col(c).cast("long").alias(f"x{i}") for i, c in enumerate(chain)])
         .where(F.col("id").isNotNull() & F.col("src").isNotNull() & F.col("at").isNotNull())
         .groupBy("id").agg(F.min(F.struct("src", "at", "x0", "x1", "x2")).alias("r")).select("id", "r.*")
