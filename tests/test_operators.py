@@ -111,6 +111,89 @@ def test_kmeans(spark):
     assert series.duplicates({0: np.zeros(3), 1: np.zeros(3) + 0.01, 2: np.ones(3)}, 0.1, series.ClusterConfig(metric="Euclidean")) == {0: 1}
 
 
+def plain_fit(data, k, seed):
+    """k-means of {id: v} without Spark: centroids and {id: (cluster, distance)}."""
+    v = np.array([data[i] for i in sorted(data)])
+    c = v[np.random.default_rng(100 * seed + k).choice(len(v), k, replace=False)]
+    for _ in range(4):
+        near = np.linalg.norm(v[:, None] - c[None], axis=2).argmin(1)
+        c = np.stack([v[near == i].mean(0) for i in np.unique(near)])
+    d = np.linalg.norm(v[:, None] - c[None], axis=2)
+    return c, {i: (int(n), float(x)) for i, n, x in zip(sorted(data), d.argmin(1), d.min(1))}
+
+
+def fold_clusters(data, cfg):
+    """The refinement driver in plain Python: {id: cluster}, outlines -1."""
+    def near(c, i, gone):
+        return min(((np.linalg.norm(c[i] - c[j]), j) for j in c if j != i and j not in gone), default=(np.inf, -1))
+
+    def merge(clusters):
+        gone = {}
+        for i in sorted(clusters):
+            d, j = near({k: v[0] for k, v in clusters.items()}, i, gone)
+            if d < cfg.cluster_distance:
+                gone[i] = j
+        for i, j in gone.items():
+            clusters[j][3].update(clusters[i][3])
+            clusters[i][3].clear()
+        return {k: v for k, v in clusters.items() if k not in gone}
+
+    def run(ids, seed, base):
+        fits = [plain_fit({i: data[i] for i in ids}, k, seed) for k in range(cfg.k_min, cfg.k_max + 1)]
+        best = min(fits, key=lambda f: np.mean([d for _, d in f[1].values()]))
+        clusters = {}
+        for n, c in enumerate(best[0]):
+            own = {i: d for i, (k, d) in best[1].items() if k == n}
+            score, sigma = (np.mean(list(own.values())), np.std(list(own.values()))) if own else (0, 0)
+            kind = "Outline" if sigma > cfg.bad_sigma or len(own) < cfg.min_cluster else "Good" if sigma < cfg.good_sigma else "Reclust"
+            clusters[base + n] = (c, kind, sigma, {i: abs(d - score) for i, d in own.items()})
+        return merge(clusters)
+
+    good, out = {}, set()
+
+    def act(clusters, deeper):
+        for n, (c, kind, sigma, dev) in clusters.items():
+            if kind == "Outline":
+                out.update(dev)
+            elif kind == "Reclust" and deeper:
+                act(run(sorted(dev), cfg.seed + n + 1, (n + 1) * 100), False)
+            else:
+                out.update(i for i, d in dev.items() if d > 3 * sigma)
+                good[n] = (c, kind, sigma, {i: d for i, d in dev.items() if d <= 3 * sigma})
+
+    act(run(sorted(data), cfg.seed, 0), True)
+    return {i: n for n, v in merge(good).items() for i in v[3]} | dict.fromkeys(out, -1)
+
+
+CLUSTER_CASES = {
+    # k_max, cluster_distance, good_sigma, bad_sigma, spread of the wide group
+    "good_outliers": (3, 0.1, 0.5, 0.9, 0.1),
+    "merge_in_run": (5, 1.5, 0.3, 2.0, 1.0),
+    "medium": (5, 0.3, 0.12, 2.0, 1.0),
+}
+
+
+@pytest.mark.parametrize("case", CLUSTER_CASES)
+def test_temporal_clusters_equals_the_fold(spark, monkeypatch, case):
+    k_max, near, good, bad, wide = CLUSTER_CASES[case]
+    rng = np.random.default_rng(5)
+    data = {i: (np.ones(6) * (i % 3) * 5 + rng.normal(0, wide if i % 3 == 2 else 0.1, 6)).tolist() for i in range(120)}
+    data |= {200: [0.8] * 6, 201: [4.2] * 6}
+    cfg = series.ClusterConfig(metric="Euclidean", k_min=2, k_max=k_max, min_cluster=5, cluster_distance=near, good_sigma=good, bad_sigma=bad)
+
+    def fit(rows, k, cfg):
+        data = {r.id: r.v for r in rows.select("id", "v").collect()}
+        c, a = plain_fit(data, k, cfg.seed)
+        return c, spark.createDataFrame([(i, data[i], *x) for i, x in a.items()], "id long, v array<double>, cluster int, distance double").coalesce(1)
+
+    monkeypatch.setattr(series, "fit", fit)
+    got = series.temporal_clusters(spark.createDataFrame(list(data.items()), "id long, v array<double>"), cfg).collect()
+    assert len(got) == len(data) and all((r.cluster == -1) == (r["class"] == "Outline") for r in got)
+    assert {r.id: r.cluster for r in got} == fold_clusters(data, cfg)
+    if case == "good_outliers":
+        assert {r.id for r in got if r.cluster == -1} >= {200, 201}
+
+
 def test_asof(spark):
     rng = random.Random(6)
     ev = [(rng.randrange(3000), rng.choice("123")) for _ in range(60)]
