@@ -183,6 +183,26 @@ def test_long_text_and_threshold():
     assert leakage.leaks(index, [" ".join(item[20:] + item[:20][::-1])]) == [(0, 7)]
 
 
+def test_no_edited_stretch_is_lost_before_verification():
+    """Bursts of L // 6 words left out, added or changed at every place of a stretch: promising() keeps what verify() accepts."""
+    rules = leakage.LeakRules()
+    for size in (24, 30, 31, 32, 33, 40):
+        item, burst = [b"w%d" % i for i in range(size)], size // rules.per_edit
+        index = leakage.Index([(1, item)], rules)
+        q0 = rules.reach
+        for kind in ("left out", "added", "changed"):
+            for at in range(1, size - burst):
+                own = np.r_[np.arange(at), np.arange(at if kind == "added" else at + burst, size)]
+                gap = 0 if kind == "left out" else burst
+                p = 100 + own + np.where(own >= at, {"left out": -burst, "added": burst, "changed": 0}[kind], 0)
+                doc = np.full(300 + size + gap, leakage.DOC_PAD, np.int32)
+                doc[100 : 100 + size + burst] = 0
+                doc[p] = index.seq[q0 + own]
+                good = leakage.verify(doc, index.seq, p, q0 + own, rules)
+                kept = leakage.promising(doc, index.seq, p, q0 + own, rules)
+                assert good.any() and kept[good].all(), (size, kind, at)
+
+
 def test_recall_of_edited_stretches():
     rng, found, total = random.Random(3), 0, 0
     vocabulary = [f"v{k}" for k in range(900)]

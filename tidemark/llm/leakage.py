@@ -130,23 +130,28 @@ def _extend(doc: np.ndarray, item: np.ndarray, p: np.ndarray, q: np.ndarray, ste
 
 
 def promising(doc: np.ndarray, item: np.ndarray, p: np.ndarray, q: np.ndarray, rules: LeakRules) -> np.ndarray:
-    """Necessary for a leak through (p, q): near the anchor, enough item words recur close to their diagonal.
+    """Necessary for a leak through (p, q): some stretch around the anchor has few enough words that do not recur.
 
-    Of the ``stretch`` item words around the anchor at most stretch // per_edit + 2 may lack an equal document
-    word within 4 places (two more than a stretch allows, as longer stretches spread their edits unevenly)."""
+    An item word without an equal document word within ``band`` places of the anchor's diagonal costs an edit in every
+    alignment that verify() tries, so it accepts no anchor whose stretches all hold more such words than edits."""
     out = np.zeros(len(p), bool)
-    n, shift = rules.stretch, 4
-    least = n - n // rules.per_edit - 2
-    off = np.arange(-n + 1, n)
-    for a in range(0, len(p), 1 << 14):
-        s = slice(a, a + (1 << 14))
-        it = item[q[s, None] + off]
-        win = doc[np.clip(p[s, None] + np.arange(-n + 1 - shift, n + shift), 0, len(doc) - 1)]
+    n, shift = rules.reach, rules.band
+    off = np.arange(-n, n + 1)
+    # Fewest words on the right for each number of words on the left.
+    least = np.maximum(rules.stretch - 1 - np.arange(n + 1), 0)
+    for a in range(0, len(p), 1 << 13):
+        s = slice(a, a + (1 << 13))
+        it = item[np.clip(q[s, None] + off, 0, len(item) - 1)]
+        win = doc[np.clip(p[s, None] + np.arange(-n - shift, n + shift + 1), 0, len(doc) - 1)]
         hit = np.zeros(it.shape, bool)
         for k in range(2 * shift + 1):
             hit |= it == win[:, k : k + len(off)]
-        run = np.cumsum(np.pad(hit.astype(np.int16), ((0, 0), (1, 0))), 1)
-        out[s] = (run[:, n:] - run[:, :-n]).max(1) >= least
+        worth = np.where(hit, 1, 1 - rules.per_edit).astype(np.int32)
+        worth[it == ITEM_PAD] = -(1 << 14)
+        left = np.cumsum(np.pad(worth[:, :n][:, ::-1], ((0, 0), (1, 0))), 1)
+        right = np.cumsum(np.pad(worth[:, n + 1 :], ((0, 0), (1, 0))), 1)
+        best = np.maximum.accumulate(right[:, ::-1], 1)[:, ::-1]
+        out[s] = (left + 1 + best[:, least]).max(1) >= 0
     return out
 
 
