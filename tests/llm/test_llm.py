@@ -256,6 +256,17 @@ def test_mixture_caps_and_edges(spark):
     assert sorted((r.doc_id, r.source) for r in mixing.sizes(docs, "doc_id", "text", "source").collect()) == [(1, "big"), (5, "ti_ny")]
 
 
+def test_default_budget_with_absent_sources(spark):
+    cols = "source string, target_share double, max_repeats int"
+    live = [("big", 0.5, 1), ("tiny", 0.3, 2)]
+    t = spark.createDataFrame([*live, ("none", 0.2, 2)], cols)
+    s = {r.source: r for r in mixing.mix(sized(spark), t)[1].collect()}
+    assert s["none"].share == 0 and s["none"].tokens == 0 and s["big"].tokens > 0 and s["tiny"].tokens == 2 * s["tiny"].available_tokens
+    for repeats in (0, None):
+        plan = {p["source"]: p for p in mixing.plan_mix([("big", 900), ("tiny", 30)], [("big", 0.5, 1), ("tiny", 0.5, repeats)], mixing.MixRules())}
+        assert plan["big"]["want"] == 900 and plan["tiny"]["want"] == 0 and plan["tiny"]["passes"] == 0
+
+
 # --- tokens and splitting -----------------------------------------------------------------------------------
 
 def test_encode_in_parts():

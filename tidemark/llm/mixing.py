@@ -20,7 +20,8 @@ from tidemark.llm.tokens import RANKS, with_tokens
 
 @dataclass(frozen=True)
 class MixRules:
-    """budget: tokens of the mixture; None takes the largest budget at which every source reaches its share.
+    """budget: tokens of the mixture; None takes the largest budget at which every source with tokens and repeats reaches
+    its share; the others get none.
     tilt: how strongly weights may rise or fall over the training (0 keeps them constant, below 1)."""
 
     budget: int | None = None
@@ -43,7 +44,7 @@ def plan_mix(available: list[tuple[str, int]], targets: list[tuple[str, float, i
     total = sum(w for _, w, _ in live) or 1.0
     live = sorted((s, w / total, max(0, r or 0)) for s, w, r in live)
     caps = {s: have.get(s, 0) * r for s, _, r in live}
-    most = min((caps[s] / w for s, w, _ in live), default=0.0)
+    most = min((caps[s] / w for s, w, _ in live if caps[s] > 0), default=0.0)
     budget = float(rules.budget) if rules.budget is not None else most
     raw = {s: rules.tilt * (1 - 2 * i / max(1, len(live) - 1)) for i, (s, _, _) in enumerate(live)}
     mean = sum(w * raw[s] for s, w, _ in live)
