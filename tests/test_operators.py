@@ -63,6 +63,18 @@ def test_v2_exact_equals_snapshot_for_one_session(spark, sf):
     assert a == b and a
 
 
+def test_v2_slices_cover_all_sessions(spark, sf, monkeypatch):
+    from tidemark.plans import ratings as q
+
+    start, week = 1_356_998_400_000, 7 * 86_400_000
+    times = [(1, start - 1), (2, start), (2, start + week), (3, start + 60 * week + 5), (4, None)]
+    rows = spark.createDataFrame(times, "session_id long, commit_time long").coalesce(1)
+    edges = [start + k * week for k in (-1, 0, 1, 60, 61)]
+    monkeypatch.setattr(q, "_seats", lambda s, d: rows)
+    monkeypatch.setattr(exact, "rate_slices", lambda seats, board, modes, variant, edges: edges)
+    assert q.v2_slices(spark, sf) == edges
+
+
 def test_islands_brute_force(spark):
     rng = random.Random(4)
     rows = [(i, rng.choice([None, 1, 2])) for i in range(0, 900, 3)]

@@ -143,6 +143,13 @@ def rate_exact(seats: DataFrame, board: DataFrame, modes: DataFrame, variant: st
     return stream.select("*", one).groupBy("g").cogroup(users.select("*", one).groupBy("g")).applyInPandas(run, CHANGES)
 
 
+def slice_edges(seats: DataFrame, start: int, length: int) -> list[int]:
+    """Edges in ms of the slices from ``start`` on (or before it) that hold sessions, with one slice over each gap."""
+    at = seats.groupBy("session_id").agg(F.min("commit_time").alias("at")).where("at is not null")
+    held = [r[0] for r in at.select(F.floor((F.col("at") - start) / length)).distinct().collect()]
+    return sorted({start + k * length for n in held for k in (n, n + 1)})
+
+
 def rate_slices(seats: DataFrame, board: DataFrame, modes: DataFrame, variant: str, edges: list[int]) -> DataFrame:
     """The board after rating the sessions slice by slice (edges in ms): inside a slice every session sees the
     board of its start, and a user's changes add up. One distributed plan and one checkpoint per slice."""

@@ -283,7 +283,7 @@ def v2_exact(s, d):
 @query()
 def v2_slices(s, d):
     """The board after weekly slices of the pool variant."""
-    from tidemark.operators.exact import rate_slices
+    from tidemark.operators.exact import rate_slices, slice_edges
 
-    week = 7 * 86_400_000
-    return rate_slices(_seats(s, d), _board(s, d), _modes(s, d), "v2", [1_356_998_400_000 + i * week for i in range(7)])
+    seats = _seats(s, d)
+    return rate_slices(seats, _board(s, d), _modes(s, d), "v2", slice_edges(seats, 1_356_998_400_000, 7 * 86_400_000))
