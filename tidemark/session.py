@@ -32,17 +32,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Sets the checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a folder of our own is set
-    only where none is named, as in local tests.
-    """
-    spark = df.sparkSession
+    Only a local session, whose tasks share this machine, gets a temporary folder of its own where none is
+    named; anywhere else a missing folder is an error, as a machine's own disk is lost with the machine."""
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-ckpt-"))
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-ckpt-"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the folder of ``checkpoint_folder``."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
