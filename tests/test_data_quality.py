@@ -205,23 +205,59 @@ def test_stuck_runs_brute_force(spark):
 
     rng, rows = random.Random(2), []
     for i in range(3000):
-        rows.append((i, rng.choice("ab"), "f", dt.datetime(2013, 1, 1) + dt.timedelta(minutes=rng.randrange(60 * 24 * 9)), rng.choice([1, 1, 1, 1, 1, 2])))
-    df = spark.createDataFrame(rows, "id long, src string, field string, at timestamp_ntz, v long")
-    want, run = set(), []
-    for src in "ab":
-        run = []
-        for r in [*sorted((x for x in rows if x[1] == src), key=lambda x: (x[3], x[0])), (None, src, "f", None, None)]:
-            if run and r[4] != run[-1][4]:
-                if len(run) >= 6:
-                    want |= {x[0] for x in run}
-                run = []
-            run.append(r)
-    assert {r[0] for r in spikes.stuck(df, spikes.SpikeRules()).collect()} == want
-
-
-def test_gpd_cutoff_of_an_exponential_tail():
+        rows.append((i, rng.choice("ab"), dt.datetime(2013, 1, 1) + dt.timedelta(minutes=rng.randrange(60 * 24 * 9)), *(rng.choice([1, 1, 1, 1, 1, 2, None]) for _ in range(3))))
+    for i in range(40):  # frozen for days, with a day of nulls between
+        rows.append((5000 + i, "cold", dt.datetime(2013, 1, 1) + dt.timedelta(hours=7 * i), None if 10 <= i < 15 else 7, 3 if i else 4, i))
+    df = spark.createDataFrame(rows, "id long, src string, at timestamp_ntz, x0 long, x1 long, x2 long")
+    got = {r.id: (r.n0, r.n1, r.n2) for r in spikes.run_lengths(df.withColumn("extra", F.lit(1))).collect()}
+    assert len(got) == len(rows)
+    for f in range(3):
+        for src in ("a", "b", "cold"):
+            mine = [r for r in sorted((x for x in rows if x[1] == src), key=lambda x: (x[2], x[0]))]
+            assert all(got[r[0]][f] == 0 for r in mine if r[3 + f] is None)
+            run = []
+            for r in [*(x for x in mine if x[3 + f] is not None), None]:
+                if run and (r is None or r[3 + f] != run[-1][3 + f]):
+                    assert {got[x[0]][f] for x in run} == {len(run)}
+                    run = []
+                run.append(r)
+    assert spikes.run_lengths(df.limit(0)).count() == 0
+
+
+def test_tail_of_known_shape():
     import numpy as np
 
     rng = np.random.default_rng(0)
     x = rng.exponential(1.0, 200_000)
-    assert abs(spikes.gpd_cutoff(x, np.ones(len(x)), 0.95, 1e-4) - np.log(1e4)) < 0.6
+    u, rate, half, shape, n = spikes.tail_fit(x, np.ones(len(x)), 0.8, 1e-4)
+    assert abs(shape) < 0.1 and abs(spikes.tail_level(u, rate, half, shape, 1e-4) - np.log(1e4)) < 0.8
+    flat = rng.uniform(0, 1, 50_000)  # a bounded tail stays inside its bound
+    wild = np.r_[flat, rng.uniform(3, 9, 600)]  # and wild readings do not stretch it
+    for v in (flat, wild):
+        assert 0.97 < spikes.tail_level(*spikes.tail_fit(v, np.ones(len(v)), 0.8, 1e-4)[:4], 1e-4) < 1.1
+    assert spikes.tail_fit(np.zeros(0), np.zeros(0), 0.8, 1e-4)[4] == 0 and spikes.tail_fit(np.ones(9), np.ones(9), 0.8, 1e-4)[4] == 0
+
+
+def test_cutoffs_follow_the_source(spark):
+    """The fit alone sets the cutoff: a source that scatters more gets a wider one, and what lies beyond is a spike at any factor."""
+    import datetime as dt
+
+    import numpy as np
+
+    rng, t0, rows = np.random.default_rng(3), dt.datetime(2013, 1, 1), []
+    for s, (name, sigma) in enumerate((("calm", 0.05), ("rough", 0.3))):
+        for i in range(4000):
+            long = int(300 + 500 * rng.random())
+            mass = 1e-5 * long**3 * np.exp(rng.normal(0, sigma))
+            rows.append((s * 10_000 + i, name, t0 + dt.timedelta(minutes=7 * i), int(mass), long, int(9 * mass**0.75)))
+    for s in (0, 10_000):
+        r = rows[s // 10_000 * 4000 + 100]
+        expect = 1e-5 * r[4] ** 3
+        rows.append((s + 9000, r[1], t0, int(expect * 1.8), r[4], int(9 * expect**0.75)))
+    df = spark.createDataFrame(rows, "catch_id long, name string, ts timestamp_ntz, mass long, long long, exp_sum long")
+    clean = spikes.clean_readings(df, "catch_id", "name", "ts", ("long", "mass", "exp_sum"))
+    cut = {r.src: np.exp(r.cut1) for r in spikes.source_curves(clean, spikes.SpikeRules()).collect()}
+    assert 1.15 < cut["calm"] < 1.4 and 2.2 < cut["rough"] < 5
+    caught = {(r.id, r.field) for r in spikes.judged(clean, names=("long", "mass", "exp_sum")).where("rule = 'spike'").collect()}
+    assert (9000, "mass") in caught and (19_000, "mass") not in caught
+    assert (9000, "mass") not in {tuple(r) for r in spikes.implausible(df, "catch_id", "name", "ts", ("long", "mass", "exp_sum")).collect()}

@@ -101,18 +101,34 @@ def p4_features_long(spark: SparkSession, sf: str) -> DataFrame:
     return _long(spark, sf).where(F.col("mission").isNotNull())
 
 
+READINGS = ("long", "mass", "exp_sum")
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return spikes.implausible(table(spark, sf, "catches"), "catch_id", "name", "ts", ("long", "mass", "exp_sum"))
+    return spikes.implausible(table(spark, sf, "catches"), "catch_id", "name", "ts", READINGS)
+
+
+def _readings(spark: SparkSession, sf: str) -> DataFrame:
+    return spikes.clean_readings(table(spark, sf, "catches"), "catch_id", "name", "ts", READINGS)
+
+
+def p5_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Every caught reading with the rule that caught it and, for spikes, the ratio to its species' curve."""
+    return spikes.judged(_readings(spark, sf), names=READINGS).withColumnRenamed("id", "catch_id")
+
+
+def p5_frozen(spark: SparkSession, sf: str) -> DataFrame:
+    """Stuck and impossible readings, and the length of the run for the stuck ones."""
+    r = spikes.run_lengths(_readings(spark, sf)).select("id", F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(f"x{i}").alias("v"), F.col(f"n{i}").alias("run")) for i, n in enumerate(READINGS)])).alias("f")).select(F.col("id").alias("catch_id"), "f.*")
+    return r.where((F.col("run") >= spikes.SpikeRules.stuck) | (F.col("v") <= 0)).select("catch_id", "field", F.col("v").alias("value"), "run")
 
 
 def p5_curves(spark: SparkSession, sf: str) -> DataFrame:
     """Fitted curves and cutoffs per species."""
-    t = table(spark, sf, "catches")
-    rows = t.where(F.col("name").isNotNull()).select(F.lower(F.btrim("name")).alias("src"), F.col("ts").alias("at"), F.col("long").alias("x0"), F.col("mass").alias("x1"), F.col("exp_sum").alias("x2"), "catch_id").dropDuplicates(["catch_id"])
-    return spikes.source_curves(rows, spikes.SpikeRules())
+    return spikes.source_curves(_readings(spark, sf), spikes.SpikeRules())
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_reasons, p2_battle_records, p2_leaderboard_records, p3_found, p3_report, p4_features, p4_features_long, p5_found, p5_curves)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_reasons, p2_battle_records, p2_leaderboard_records, p3_found, p3_report, p4_features, p4_features_long, p5_found, p5_rules, p5_frozen, p5_curves)}
 
 
 def _dangling(field: str, key: str, parent: str, parent_key: str, start: str, end: str) -> str:
@@ -145,6 +161,11 @@ ORACLE = {
     "p2_found": f"select * from ({_P2_BATTLE}) union all select * from ({_P2_BOARD})",
     "p3_found": f"select row_id, field from ({_P3})",
     "p3_report": f"select field, \"day\", count(*) orphans from ({_P3}) group by 1, 2",
+    "p5_frozen": """with c as (select catch_id, min(lower(trim("name"))) src, min(ts) tm, min(long) long, min(mass) mass, min(exp_sum) exp_sum from catches where "name" is not null and catch_id is not null group by 1),
+v as (select catch_id, src, tm, field, value from (unpivot c on long, mass, exp_sum into name field value value)),
+l as (select *, (value is distinct from lag(value) over (partition by src, field order by tm, catch_id))::int fresh from v),
+r as (select *, sum(fresh) over (partition by src, field order by tm, catch_id) k from l), n as (select *, count(*) over (partition by src, field, k) run from r)
+select catch_id, field, value, run from n where run >= 6 or value <= 0""",
     "p4_features_long": """with s as (select user_id, session_id, commit_time, battle_score, early_quit, team_score_top_20_percent t from battle_rows where user_id is not null and session_id is not null
   qualify row_number() over (partition by user_id, session_id order by ingest_time desc nulls last, row_id desc) = 1),
 m as (select distinct session_id_str session_id, mission from session_mission where mission is not null and session_id_str is not null)
