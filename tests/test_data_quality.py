@@ -99,32 +99,41 @@ def test_reject_edges(spark):
 
 # --- orphans -----------------------------------------------------------------------------------------
 
-@pytest.mark.parametrize("small", [0, 10_000])
-def test_orphans_brute_force(spark, small):
+@pytest.mark.parametrize("small, hot", [(0, 64), (0, 4000), (10_000, 64)])
+def test_orphans_brute_force(spark, small, hot):
     rng = random.Random(3)
-    parents = [(rng.choice([None, *range(40)]), rng.choice([None, 0, *range(0, 10**9, 10**8)]), rng.choice([None, *range(10**8, 12 * 10**8, 10**8)])) for _ in range(150)] + [(7, 5, 6)] * 3
-    refs = [(i, rng.choice([None, 7, 7, 7, *range(60)]), rng.choice([None, rng.randrange(12 * 10**8), 5, 6])) for i in range(3000)]
+    life = lambda: (rng.choice([None, 0, *range(0, 10**9, 10**8)]), rng.choice([None, *range(10**8, 12 * 10**8, 10**8)]))
+    parents = [(rng.choice([None, *range(40)]), *life()) for _ in range(150)] + [(7, 5, 6)] * 3 + [(7, a * 10**6, a * 10**6 + 5 * 10**5) for a in range(1, 1200)]
+    kinds = [(rng.choice([None, "a", "b", "c"]), *life()) for _ in range(8)]
+    refs = [(i, rng.choice([None, 7, 7, 7, *range(60)]), rng.choice([None, rng.randrange(12 * 10**8), 5, 6]), rng.choice([None, "a", "b", "zz"])) for i in range(3000)]
     p = spark.createDataFrame(parents, "key long, start long, end long").withColumn("id", F.lit("clash"))
-    r = spark.createDataFrame(refs, "row_id long, key long, at long").withColumn("start", F.lit("clash")).withColumn("k", F.lit(1))
-    got = orphans.orphans(r, "row_id", F.col("key"), "at", p, F.col("key"), "start", "end", small=small)
-    alive = lambda k, t: any(a == k and s is not None and s <= t and (e is None or t < e) for a, s, e in parents)
-    assert sorted(x[0] for x in got.collect()) == sorted(i for i, k, t in refs if k is not None and (t is None or not alive(k, t)))
+    q = spark.createDataFrame(kinds, "kind string, start long, end long").withColumn("f", F.lit("clash"))
+    r = spark.createDataFrame(refs, "row_id long, key long, at long, kind string").withColumn("start", F.lit("clash")).withColumn("n", F.lit(1))
+    links = [orphans.Link("key", F.col("key"), p, F.col("key"), "start", "end"), orphans.Link("kind", F.col("kind"), q, F.col("kind"), "start", "end")]
+    got = sorted(tuple(x) for x in orphans.orphans(r, "row_id", "at", links, small=small, hot=hot, chunks=5).collect())
+    alive = lambda rows, k, t: any(a == k and s is not None and s <= t and (e is None or t < e) for a, s, e in rows)
+    want = [(i, n) for i, k, t, x in refs for n, v, rows in (("key", k, parents), ("kind", x, kinds)) if v is not None and (t is None or not alive(rows, v, t))]
+    assert got == sorted(want)
 
 
 def test_orphans_empty(spark):
     p = spark.createDataFrame([], "key long, start long, end long")
     r = spark.createDataFrame([(1, 5, 9), (2, None, 9)], "row_id long, key long, at long")
-    f = lambda a, b: sorted(x[0] for x in orphans.orphans(a, "row_id", F.col("key"), "at", b, F.col("key"), "start", "end").collect())
-    assert f(r, p) == [1] and f(r.limit(0), p) == []
+    f = lambda a, b, small: sorted(x[0] for x in orphans.orphans(a, "row_id", "at", [orphans.Link("key", F.col("key"), b, F.col("key"), "start", "end")], small=small).collect())
+    for small in (-1, 10):
+        assert f(r, p, small) == [1] and f(r.limit(0), p, small) == []
 
 
 def test_bloom_has_no_false_negative(spark):
-    keys = spark.range(5000).select((F.col("id") * 17).alias("k"))
-    bits = orphans.bloom_bits(5000)
-    w = orphans.bloom_words(keys, bits)
-    assert keys.where(~orphans.might_contain(w, F.col("k"), bits)).count() == 0
-    other = spark.range(5000).select((F.col("id") * 17 + 3).alias("k"))
-    assert other.where(orphans.might_contain(w, F.col("k"), bits)).count() < 250
+    keys = spark.range(3000).select((F.col("id") * 17).alias("k"))
+    other = spark.range(3000).select((F.col("id") * 17 + 3).alias("k"))
+    # 2.7 bits a key, as 100 million keys have at the largest size: most orphans are still proven.
+    for most, positive in ((1 << 28, 0.05), (1 << 13, 0.4)):
+        bits, hashes = orphans.bloom_size(3000, most_bits=most)
+        w = orphans.bloom_words(keys, bits, hashes)
+        assert keys.where(~orphans.might_contain(w, F.col("k"), bits, hashes)).count() == 0
+        assert other.where(orphans.might_contain(w, F.col("k"), bits, hashes)).count() < positive * 3000
+    assert orphans.bloom_size(10**8) == (1 << 28, 2)
 
 
 # --- features ----------------------------------------------------------------------------------------
@@ -143,6 +152,21 @@ def test_features(spark):
         features.feature_table(long, "user", "kind", ["a", "a"], ["battles"])
 
 
+def test_many_kinds(spark):
+    """Lists beyond what one table can have as columns: tables by range of kinds, or one map column."""
+    rows = [(u, f"k{i}", i) for u in range(4) for i in range(u, 30, u + 1)] + [(9, None, 1), (None, "k1", 1)]
+    long = spark.createDataFrame(rows, "user long, kind string, battles long").withColumn("since", F.col("battles") + 1)
+    kinds = [f"k{i}" for i in range(30)]
+    whole = features.feature_table(long, "user", "kind", kinds, ["battles", "since"]).toPandas().set_index("user").sort_index()
+    parts = [t.toPandas().set_index("user").sort_index() for t in features.feature_tables(long, "user", "kind", kinds, ["battles", "since"], most=14)]
+    assert len(parts) == 5 and all(len(p) == 5 and len(p.columns) <= 14 for p in parts)
+    joined = parts[0].join(parts[1:])
+    assert list(joined.columns) == list(whole.columns) and joined.equals(whole)
+    maps = {r.user: r.features for r in features.feature_maps(long, "user", "kind", ["battles", "since"]).collect()}
+    assert set(maps) == {0, 1, 2, 3, 9} and maps[9] == {} and all(maps[u][k].battles == whole.loc[u, f"{k}_battles"] for u in range(4) for k in maps[u]) and len(maps[0]) == 30
+    assert features.feature_maps(long.limit(0), "user", "kind", ["battles"]).count() == 0
+
+
 def test_features_match_the_long_form(spark, sf):
     from tidemark.plans import data_quality as q
 
@@ -160,7 +184,7 @@ def test_features_match_the_long_form(spark, sf):
 def test_last_seat_wins(spark):
     rows = [(1, 5, 9, 1, 1, 10, True, None, None, "2020-01-01"), (2, 5, 9, 1, 1, 20, False, None, None, "2020-01-02"), (3, 5, 9, 1, 1, 30, None, None, None, "2020-01-02"), (4, None, 9, 1, 1, 1, None, None, None, None)]
     df = spark.createDataFrame(rows, "row_id long, user_id long, session_id long, commit_time long, team int, battle_score long, victories boolean, early_quit boolean, team_score_top_20_percent boolean, ingest_time string")
-    assert [r["battle_score"] for r in last_seats(df).collect()] == [30]
+    assert [r["battle_score"] for r in last_seats(df, ["battle_score"]).collect()] == [30]
 
 
 # --- spikes ------------------------------------------------------------------------------------------

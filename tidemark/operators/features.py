@@ -24,18 +24,29 @@ def column_name(kind: str, metric: str) -> str:
     return f"{kind}_{metric}"
 
 
+def numbered(rows: DataFrame, kind: str, kinds: list[str]) -> DataFrame:
+    """``kind`` replaced by its place in the explicit list; unlisted and null kinds become -1. The list is an argument, so it is small."""
+    if len(set(kinds)) != len(kinds):
+        raise ValueError("kinds repeat")
+    listed = rows.sparkSession.createDataFrame([(k, i) for i, k in enumerate(kinds)], f"`{kind}` string, _place int")
+    return rows.join(F.broadcast(listed), kind, "left").withColumn(kind, F.coalesce("_place", F.lit(-1))).drop("_place")
+
+
 def feature_table(long: DataFrame, entity: str, kind: str, kinds: list[str], metrics: list[str], recency: str = "since") -> DataFrame:
     """One row per entity; for each kind of ``kinds`` the columns <kind>_<metric>.
 
-    The long table is partitioned by entity once; the pivot over the explicit list then runs inside the
-    partitions (no search for distinct kinds, no second exchange). Absent kinds give 0, and null for the
-    recency. Entities whose events are all of unlisted or null kind keep a row of zeros; a null entity is
-    no entity and is left out. Kinds and metrics name the columns, so they must not repeat.
+    ``kind`` holds names, or already their places in the list (see ``numbered``). The long table is partitioned by
+    entity once; the pivot over the explicit list then runs inside the partitions, one array slot per long row (no
+    search for distinct kinds, no second exchange). Absent kinds give 0, and null for the recency. Entities whose
+    events are all of unlisted or null kind keep a row of zeros; a null entity is no entity and is left out. Kinds
+    and metrics name the columns, so they must not repeat. For lists that no table can have as columns
+    there are ``feature_tables`` and ``feature_maps``.
     """
-    if len(set(kinds)) != len(kinds):
+    if long.schema[kind].dataType.simpleString() == "string":
+        long = numbered(long, kind, kinds)
+    elif len(set(kinds)) != len(kinds):
         raise ValueError("kinds repeat")
-    place = F.coalesce(F.element_at(F.create_map(*[x for i, k in enumerate(kinds) for x in (F.lit(k), F.lit(i))]), F.col(kind)), F.lit(-1)) if kinds else F.lit(-1)
-    slim = long.where(F.col(entity).isNotNull()).select(F.col(entity), place.alias("_kind"), *metrics).repartition(F.col(entity))
+    slim = long.where(F.col(entity).isNotNull()).select(F.col(entity), F.col(kind).alias("_kind"), *metrics).repartition(F.col(entity))
     wide = slim.groupBy(entity).pivot("_kind", list(range(len(kinds))) or [0]).agg(*[F.first(m).alias(m) for m in metrics])
     named = (lambda i, m: f"{i}_{m}") if len(metrics) > 1 else (lambda i, m: str(i))  # as pivot names them
     return wide.select(
@@ -45,3 +56,17 @@ def feature_table(long: DataFrame, entity: str, kind: str, kinds: list[str], met
             for i, k in enumerate(kinds) for m in metrics
         ],
     )
+
+
+def feature_tables(long: DataFrame, entity: str, kind: str, kinds: list[str], metrics: list[str], most: int = 2000, recency: str = "since") -> list[DataFrame]:
+    """The wide table in parts of at most ``most`` columns: all entities, and consecutive ranges of the kinds."""
+    step = max(1, most // max(1, len(metrics)))
+    return [feature_table(long, entity, kind, kinds[i : i + step], metrics, recency) for i in range(0, max(1, len(kinds)), step)]
+
+
+def feature_maps(long: DataFrame, entity: str, kind: str, metrics: list[str]) -> DataFrame:
+    """One row per entity with ``features``: kind -> struct of the metrics, for any number of kinds and no list.
+
+    Absent kinds are absent from the map; a null kind leaves the entity a row and no entry."""
+    entry = F.when(F.col(kind).isNotNull(), F.struct(F.col(kind), F.struct(*metrics)))
+    return long.where(F.col(entity).isNotNull()).groupBy(entity).agg(F.map_from_entries(F.collect_list(entry)).alias("features"))

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def last_seats(rows: DataFrame) -> DataFrame:
-    """One row per (user, session): the one ingested last (ties: the larger row_id). Users, sessions non-null."""
-    value = F.struct("commit_time", "team", "battle_score", "victories", "early_quit", "team_score_top_20_percent")
+def last_seats(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(user_id, session_id, ``columns``) of the row ingested last (ties: the larger row_id). Users, sessions non-null."""
+    value = F.struct(*columns)
     return (
         rows.where(F.col("user_id").isNotNull() & F.col("session_id").isNotNull())
         .groupBy("user_id", "session_id")

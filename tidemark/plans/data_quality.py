@@ -46,18 +46,12 @@ def _folded(c: str):
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "battle_rows")
-    parts = [
-        ("user_id", F.col("user_id"), "registrations", F.col("user_id"), "registered_time", "deleted_time"),
-        ("session_id", F.col("session_id"), "session_mode", F.col("session_id"), "opened_time", "removed_time"),
-        ("faction", _folded("faction"), "factions", _folded("faction"), "opened_time", "closed_time"),
+    links = [
+        orphans.Link("user_id", F.col("user_id"), table(spark, sf, "registrations"), F.col("user_id"), "registered_time", "deleted_time"),
+        orphans.Link("session_id", F.col("session_id"), table(spark, sf, "session_mode"), F.col("session_id"), "opened_time", "removed_time"),
+        orphans.Link("faction", _folded("faction"), table(spark, sf, "factions"), _folded("faction"), "opened_time", "closed_time"),
     ]
-    out = None
-    for field, key, parent, pkey, start, end in parts:
-        found = orphans.orphans(rows, "row_id", key, "commit_time", table(spark, sf, parent), pkey, start, end)
-        found = found.select(F.col("id").alias("row_id"), F.lit(field).alias("field"))
-        out = found if out is None else out.unionByName(found)
-    return out
+    return orphans.orphans(table(spark, sf, "battle_rows"), "row_id", "commit_time", links).withColumnRenamed("id", "row_id")
 
 
 def p3_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,35 +59,41 @@ def p3_report(spark: SparkSession, sf: str) -> DataFrame:
     return orphans.orphan_report(table(spark, sf, "battle_rows"), p3_found(spark, sf), "row_id", "commit_time")
 
 
-def feature_events(spark: SparkSession, sf: str) -> DataFrame:
-    """Battles (last record per user and session) with their mission. Users whose rows name no session keep a row without one."""
-    rows = table(spark, sf, "battle_rows").drop("faction")
-    seats = last_seats(rows)
+SEAT_COLUMNS = ["commit_time", "battle_score", "early_quit", "team_score_top_20_percent"]
+
+
+def feature_events(spark: SparkSession, sf: str, kinds: list[str] | None = None) -> DataFrame:
+    """Battles (last record per user and session) with their mission, or its place in ``kinds``.
+
+    Users whose rows name no session keep a row without one. The join of the sessions' missions is left to the
+    planner, which broadcasts them only where their measured size is small."""
+    rows = table(spark, sf, "battle_rows")
     missions = table(spark, sf, "session_mission").where(F.col("mission").isNotNull() & F.col("session_id_str").isNotNull()).select(F.col("session_id_str").alias("session_id"), "mission").distinct()
-    if table(spark, sf, "session_mission").count() <= 1_000_000:  # at most some 50 MB as a hash table
-        missions = F.broadcast(missions)
+    if kinds is not None:
+        missions = features.numbered(missions, "mission", kinds)
     loose = rows.where(F.col("user_id").isNotNull() & F.col("session_id").isNull()).select("user_id").distinct()
-    return seats.join(missions, "session_id", "left").unionByName(loose, allowMissingColumns=True)
+    return last_seats(rows, SEAT_COLUMNS).join(missions, "session_id", "left").unionByName(loose, allowMissingColumns=True)
 
 
-def _long(spark: SparkSession, sf: str) -> DataFrame:
+def _long(spark: SparkSession, sf: str, kinds: list[str] | None = None) -> DataFrame:
     now = table(spark, sf, "battle_rows").agg(F.max("commit_time")).scalar()
     flag = lambda c: F.col(c).cast("long")
     return features.feature_long(
-        feature_events(spark, sf), "user_id", "mission", "commit_time",
+        feature_events(spark, sf, kinds), "user_id", "mission", "commit_time",
         {"battle_score": F.col("battle_score"), "early_quit": flag("early_quit"), "top_20": flag("team_score_top_20_percent")}, now)
 
 
-def mission_list(spark: SparkSession, sf: str, most: int = 2000) -> list[str]:
-    """The explicit type list: the distinct missions, sorted. More than ``most`` is an error, not a cut."""
-    found = [r[0] for r in table(spark, sf, "session_mission").where(F.col("mission").isNotNull()).select("mission").distinct().limit(most + 1).collect()]
-    if len(found) > most:
-        raise ValueError(f"more than {most} event types: give an explicit list")
-    return sorted(found)
+def mission_list(spark: SparkSession, sf: str) -> list[str]:
+    """The missions on record, sorted: the type list of the wide query, which a caller may replace by its own.
 
+    One name per mission (240 in the tables, each five columns), so what is collected is as long as the result is wide."""
+    return sorted(r[0] for r in table(spark, sf, "session_mission").where(F.col("mission").isNotNull()).select("mission").distinct().collect())
 
-def p4_features(spark: SparkSession, sf: str) -> DataFrame:
-    return features.feature_table(_long(spark, sf), "user_id", "mission", mission_list(spark, sf), METRICS)
+
+def p4_features(spark: SparkSession, sf: str, kinds: list[str] | None = None) -> DataFrame:
+    kinds = mission_list(spark, sf) if kinds is None else kinds
+    long = _long(spark, sf, kinds)
+    return features.feature_table(long.withColumn("mission", F.coalesce("mission", F.lit(-1))), "user_id", "mission", kinds, METRICS)
 
 
 def p4_features_long(spark: SparkSession, sf: str) -> DataFrame:
@@ -101,6 +101,13 @@ def p4_features_long(spark: SparkSession, sf: str) -> DataFrame:
     return _long(spark, sf).where(F.col("mission").isNotNull())
 
 
+def p4_feature_maps(spark: SparkSession, sf: str) -> DataFrame:
+    """The features as one map column, for type lists of any length: entries as text in order of the mission."""
+    maps = features.feature_maps(_long(spark, sf), "user_id", "mission", METRICS)
+    text = lambda e: F.concat_ws(":", e["key"], *[e["value"][m].cast("string") for m in METRICS])
+    return maps.select("user_id", F.size("features").alias("missions"), F.array_join(F.transform(F.array_sort(F.map_entries("features")), text), ";").alias("features"))
+
+
 READINGS = ("long", "mass", "exp_sum")
 
 
@@ -128,7 +135,7 @@ def p5_curves(spark: SparkSession, sf: str) -> DataFrame:
     return spikes.source_curves(_readings(spark, sf), spikes.SpikeRules())
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_reasons, p2_battle_records, p2_leaderboard_records, p3_found, p3_report, p4_features, p4_features_long, p5_found, p5_rules, p5_frozen, p5_curves)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_reasons, p2_battle_records, p2_leaderboard_records, p3_found, p3_report, p4_features, p4_features_long, p4_feature_maps, p5_found, p5_rules, p5_frozen, p5_curves)}
 
 
 def _dangling(field: str, key: str, parent: str, parent_key: str, start: str, end: str) -> str:
@@ -157,6 +164,12 @@ select 'raw_leaderboard_lines' feed, line_id from k where not coalesce((a = b) a
   and len(list_filter(list_zip(ks, vs), lambda z: not coalesce(case when z[1] = 'user_id' then {_NUM.format(v="z[2]", lo=1, hi=2**63 - 1)} when z[1] = 'last_session' then {_NUM.format(v="z[2]", lo=0, hi=2**63 - 1)}
     when z[1] in ('mmr', 'battles', 'victories', 'early_quites', 'top_20', 'battle_score') then {_NUM.format(v="z[2]", lo=0, hi=2**32 - 1)} end, false))) = 0, false)"""
 
+_P4 = """with s as (select user_id, session_id, commit_time, battle_score, early_quit, team_score_top_20_percent t from battle_rows where user_id is not null and session_id is not null
+  qualify row_number() over (partition by user_id, session_id order by ingest_time desc nulls last, row_id desc) = 1),
+m as (select distinct session_id_str session_id, mission from session_mission where mission is not null and session_id_str is not null),
+l as (select user_id, mission, count(*) battles, (select max(commit_time) from battle_rows) - max(commit_time) since, coalesce(sum(battle_score), 0)::bigint battle_score,
+  coalesce(sum(early_quit::int), 0)::bigint early_quit, coalesce(sum(t::int), 0)::bigint top_20 from s join m using (session_id) group by 1, 2)"""
+
 ORACLE = {
     "p2_found": f"select * from ({_P2_BATTLE}) union all select * from ({_P2_BOARD})",
     "p3_found": f"select row_id, field from ({_P3})",
@@ -166,9 +179,13 @@ v as (select catch_id, src, tm, field, value from (unpivot c on long, mass, exp_
 l as (select *, (value is distinct from lag(value) over (partition by src, field order by tm, catch_id))::int fresh from v),
 r as (select *, sum(fresh) over (partition by src, field order by tm, catch_id) k from l), n as (select *, count(*) over (partition by src, field, k) run from r)
 select catch_id, field, value, run from n where run >= 6 or value <= 0""",
-    "p4_features_long": """with s as (select user_id, session_id, commit_time, battle_score, early_quit, team_score_top_20_percent t from battle_rows where user_id is not null and session_id is not null
-  qualify row_number() over (partition by user_id, session_id order by ingest_time desc nulls last, row_id desc) = 1),
-m as (select distinct session_id_str session_id, mission from session_mission where mission is not null and session_id_str is not null)
-select user_id, mission, count(*) battles, (select max(commit_time) from battle_rows) - max(commit_time) since, coalesce(sum(battle_score), 0)::bigint battle_score,
-  coalesce(sum(early_quit::int), 0)::bigint early_quit, coalesce(sum(t::int), 0)::bigint top_20 from s join m using (session_id) group by 1, 2""",
+    "p4_features_long": _P4 + " select * from l",
+    "p4_feature_maps": _P4 + """ select user_id, count(mission)::int missions, coalesce(string_agg(concat_ws(':', mission, battles, since, battle_score, early_quit, top_20), ';' order by mission), '') features
+  from (select distinct user_id from battle_rows where user_id is not null) left join l using (user_id) group by 1""",
+    # The pivot finds its columns by a statement of its own, so everything it reads stands inside it.
+    "p4_features": "select user_id, coalesce(columns('.*_(battles|battle_score|early_quit|top_20)$'), 0) as '\\0', columns('.*_since$') from (pivot (" + _P4 + """
+  select user_id, mission, battles, since, battle_score, early_quit, top_20 from l
+  union all (select user_id, (select min(mission) from session_mission), null, null, null, null, null from battle_rows where user_id is not null)
+  union all (select null, mission, null, null, null, null, null from session_mission where mission is not null)
+) on mission using max(battles) battles, max(since) since, max(battle_score) battle_score, max(early_quit) early_quit, max(top_20) top_20 group by user_id) where user_id is not null""",
 }
