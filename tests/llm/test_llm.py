@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import distinct, leakage, mixing, ranking, ranks, splitting, tokens
 from tidemark.llm.words import words
 
-SMALL = ranking.RankRules(iterations=40, block_seats=60)
+SMALL = ranking.RankRules(iterations=40, block_seats=60, part_items=7)
+TINY = ranking.RankRules(iterations=6, block_seats=5, part_items=4)  # every contest is larger than a block
 
 
 # --- ranking -----------------------------------------------------------------------------------------
@@ -43,7 +44,7 @@ def dense_sinkhorn(rows, users, alpha=1.0, iterations=40):
     return s / np.exp(np.log(s).mean())
 
 
-@pytest.mark.parametrize("rules", [SMALL, ranking.RankRules(iterations=6, vector_bytes=0)])
+@pytest.mark.parametrize("rules", [ranking.RankRules(iterations=40), SMALL, TINY])
 def test_ranking_brute_force(spark, rules):
     rows = seat_rows()
     df = spark.createDataFrame(rows, "session long, item long, team int, won boolean").withColumn("w", F.lit("clash")).withColumn("rank", F.lit(0))
@@ -52,7 +53,7 @@ def test_ranking_brute_force(spark, rules):
     want = dense_sinkhorn(rows, 25, iterations=rules.iterations)
     assert np.allclose(got.strength, want, rtol=1e-6)
     assert sorted(got["rank"]) == list(range(1, 26)) and list(got.sort_values("rank").item) == list(np.lexsort((np.arange(25), -want)))
-    assert got.wins.sum() == got.losses.sum() == 180
+    assert got.wins.sum() == got.losses.sum() == 180 and set(got.converged) == {rules.iterations == 40}
 
 
 def test_contests(spark):
@@ -66,6 +67,18 @@ def test_contests(spark):
     assert len(alone) == 6 and all(r.strength == pytest.approx(1.0) for r in alone)
 
 
+def test_ranking_mixes_large_and_small_contests(spark):
+    rng, rows = random.Random(4), seat_rows(3, 30, 40)
+    for i in range(40):  # one contest of all
+        rows.append((900, i, 1 + i % 2, i % 2 == 0))
+    got = ranking.rank_items(ranking.contests(spark.createDataFrame(rows, "session long, item long, team int, won boolean"), "session", "item", "team", "won"),
+                             spark.range(43).withColumnRenamed("id", "item"), ranking.RankRules(iterations=4, block_seats=30, part_items=10)).orderBy("item").toPandas()
+    want = dense_sinkhorn(rows, 43, iterations=4)
+    assert np.allclose(got.strength, want, rtol=1e-6) and not got.converged.any()
+    assert got.wins.sum() == got.losses.sum() == 30 * 3 + 20 and list(got.wins[40:]) == [0, 0, 0]
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"  # the session's settings are put back
+
+
 def test_number_rows(spark):
     df = spark.range(1000).select((F.col("id") * 37 % 101).alias("a"), "id")
     got = ranks.number_rows(df, ["a", "id"], "n").orderBy("n").collect()
@@ -77,17 +90,31 @@ def test_number_rows(spark):
 def test_distinct_within_bounds(spark):
     df = spark.range(60_000).select((F.col("id") % 20_011).alias("u"), (F.col("id") % 3).alias("day"), F.when(F.col("id") % 7 == 0, None).otherwise("f").alias("fac"))
     df = df.unionByName(df.limit(500)).withColumn("bucket", F.lit("clash"))
-    got = distinct.distinct_counts(df, ("day", F.col("day")), ("fac", F.col("fac")), {"u": F.col("u")}).toPandas()
+    got = distinct.group_counts(df, ("day", F.col("day")), ("fac", F.col("fac")), {"u": F.col("u")}).toPandas()
     assert set(got.level) == {"day", "fac", "day,fac"} and len(got) == 3 + 2 + 6
     exact = df.groupBy("day").agg(F.countDistinct("u").alias("n")).toPandas().set_index("day").n
     for r in got[got.level == "day"].itertuples():
         n = exact[r.day]
         assert abs(r.estimate - n) <= 3.5 * r.std_error and r.lower <= r.estimate <= r.upper and r.std_error < 0.03 * n
     tiny = spark.createDataFrame([(1, None, None), (1, None, 5), (1, None, 5)], "day long, fac string, u long")
-    small = distinct.distinct_counts(tiny, ("day", F.col("day")), ("fac", F.col("fac")), {"u": F.col("u")})
+    small = distinct.group_counts(tiny, ("day", F.col("day")), ("fac", F.col("fac")), {"u": F.col("u")})
     assert [r.estimate for r in small.collect()] == [1, 1, 1] and distinct.distinct_counts(tiny.limit(0), ("day", F.col("day")), ("fac", F.col("fac")), {"u": F.col("u")}).count() == 0
 
 
+def test_counts_come_with_their_matrices(spark):
+    """The rows of two days add up to the same figures as both days counted together."""
+    df = spark.range(20_000).select((F.col("id") % 7001).alias("u"), F.pmod(F.hash("id"), F.lit(4)).alias("day"), F.when(F.col("id") % 5 > 0, "f").alias("fac"))
+    count = lambda d: distinct.distinct_counts(d, ("day", F.col("day")), ("fac", F.col("fac")), {"u": F.col("u")})
+    got = count(df)
+    assert got.columns == ["level", "day", "fac", "field", "bucket", "bits", "estimate", "std_error", "lower", "upper"]
+    group = ["level", "day", "fac", "field"]
+    assert got.select(*group, "estimate").distinct().count() == got.select(*group).distinct().count() == 4 + 2 + 8 and got.select(*group, "bucket").distinct().count() == got.count()
+    both = distinct.estimate(distinct.merge(got.where("level = 'day' and day < 2"), []), []).first()
+    direct = distinct.group_counts(df.where("day < 2").withColumn("day", F.lit(0)), ("day", F.col("day")), ("fac", F.col("fac")), {"u": F.col("u")}).where("level = 'day'").first()
+    assert (both.estimate, both.lower, both.upper) == (direct.estimate, direct.lower, direct.upper)
+    assert count(df.limit(0)).count() == 0
+
+
 def test_error_bound_holds_over_many_draws():
     rng, hit, rel = np.random.default_rng(0), 0, []
     for n in [50, 500, 5_000, 200_000] * 25:

@@ -2,7 +2,7 @@
 
 A sketch is a matrix of ``buckets`` rows of 64 bits: an identifier's hash picks a row by its low bits and sets
 the bit of the lowest one in the rest. Matrices of any groups merge by bitwise or, so days can be added up
-later. The count is the maximum-likelihood estimate under the Poisson model of the bits, and its variance is
+later, from the rows that ``distinct_counts`` returns beside the groups' figures. The count is the maximum-likelihood estimate under the Poisson model of the bits, and its variance is
 the inverse Fisher information less the part that the Poisson model adds.
 """
 
@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import cut
+
 RANKS = 52
 
 
@@ -54,8 +56,7 @@ def likeliest(counts: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def estimate(sketches: DataFrame, groups: list[str], log2_buckets: int = 11, z: float = 2.576) -> DataFrame:
-    """One row per group and field: estimate, std_error, lower, upper (z standard errors; 99 % by default)
-    and the sketch as an array of its non-empty (bucket, bits), at most ``buckets`` entries."""
+    """One row per group and field: estimate, std_error, lower, upper (z standard errors; 99 % by default)."""
     buckets = 1 << log2_buckets
 
     @F.pandas_udf("n double, se double")
@@ -64,30 +65,22 @@ def estimate(sketches: DataFrame, groups: list[str], log2_buckets: int = 11, z:
         return pd.DataFrame({"n": n, "se": se})
 
     bit = lambda k: F.sum(F.shiftright("bits", k).bitwiseAND(F.lit(1).cast("long")))
-    whole = sketches.groupBy(*groups, "field").agg(
-        F.array(*[bit(k) for k in range(RANKS + 1)]).alias("_c"),
-        F.array_sort(F.collect_list(F.struct("bucket", "bits"))).alias("sketch"),
-    )
+    whole = sketches.groupBy(*groups, "field").agg(F.array(*[bit(k) for k in range(RANKS + 1)]).alias("_c"), F.count("*").alias("_rows"))
     # An identifier leaves at least one bit, so no group has fewer identifiers than non-empty rows.
     return whole.withColumn("_e", fit("_c")).select(
         *groups, "field",
         F.round("_e.n").cast("long").alias("estimate"),
         F.col("_e.se").alias("std_error"),
-        F.greatest(F.floor(F.col("_e.n") - z * F.col("_e.se")), F.size("sketch").cast("long")).cast("long").alias("lower"),
+        F.greatest(F.floor(F.col("_e.n") - z * F.col("_e.se")), F.col("_rows")).cast("long").alias("lower"),
         F.ceil(F.col("_e.n") + z * F.col("_e.se")).cast("long").alias("upper"),
-        "sketch",
     )
 
 
-def distinct_counts(
-    rows: DataFrame, first: tuple[str, Column], second: tuple[str, Column], identifiers: dict[str, Column], log2_buckets: int = 11
-) -> DataFrame:
-    """Estimates per first key, per second key and per combination (column ``level`` tells which).
+def level_sketches(rows: DataFrame, first: tuple[str, Column], second: tuple[str, Column], identifiers: dict[str, Column], log2_buckets: int = 11) -> DataFrame:
+    """(level, first, second, field, bucket, bits): the matrix rows per first key, per second key and per combination.
 
     The combinations' matrices are built in one pass over the rows; both roll-ups merge those matrices.
-    ``level`` separates "all values" from a null key. Empty table: empty result. Repeated rows do not
-    count twice. Other columns are ignored.
-    """
+    ``level`` separates "all values" from a null key."""
     (a, ca), (b, cb) = first, second
     base = sketch_rows(rows, {a: ca, b: cb}, identifiers, log2_buckets)
     null = lambda c: F.lit(None).cast(base.schema[c].dataType)
@@ -96,5 +89,27 @@ def distinct_counts(
         F.struct(F.lit(a).alias("level"), F.col(a), null(b).alias(b)),
         F.struct(F.lit(b).alias("level"), null(a).alias(a), F.col(b)),
     )).alias("_l")
-    spread = base.select(levels, "field", "bucket", "bits").select("_l.*", "field", "bucket", "bits")
-    return estimate(merge(spread, ["level", a, b]), ["level", a, b], log2_buckets)
+    return merge(base.select(levels, "field", "bucket", "bits").select("_l.*", "field", "bucket", "bits"), ["level", a, b])
+
+
+def group_counts(rows: DataFrame, first: tuple[str, Column], second: tuple[str, Column], identifiers: dict[str, Column], log2_buckets: int = 11, z: float = 2.576) -> DataFrame:
+    """One row per level, group and field with its estimate and bounds; ``distinct_counts`` without the matrices."""
+    return estimate(level_sketches(rows, first, second, identifiers, log2_buckets), ["level", first[0], second[0]], log2_buckets, z)
+
+
+def distinct_counts(
+    rows: DataFrame, first: tuple[str, Column], second: tuple[str, Column], identifiers: dict[str, Column], log2_buckets: int = 11
+) -> DataFrame:
+    """Per first key, per second key and per combination (column ``level`` tells which): the non-empty rows of the
+    group's matrix (bucket, bits) with the group's estimate, standard error and 99 % bounds.
+
+    This is the form in which groups can be added up later: ``merge`` over the days in question, then ``estimate``.
+    Empty table: empty result. Repeated rows do not count twice. Other columns are ignored. The matrices are
+    checkpointed once, as both the figures and the result read them.
+    """
+    matrices = cut(level_sketches(rows, first, second, identifiers, log2_buckets))
+    keys = ["level", first[0], second[0]]
+    figures = estimate(matrices, keys, log2_buckets)
+    same = [F.col(f"m.{c}").eqNullSafe(F.col(f"g.{c}")) for c in (*keys, "field")]
+    # One small row per group: the planner broadcasts it where its measured size allows, else both sides are shuffled.
+    return matrices.alias("m").join(figures.alias("g"), same).select(*[f"m.{c}" for c in (*keys, "field", "bucket", "bits")], "g.estimate", "g.std_error", "g.lower", "g.upper")

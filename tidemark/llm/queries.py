@@ -12,7 +12,7 @@ from tidemark.session import table
 
 def p1_ranking(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "battle_rows")
-    games = ranking.contests(last_seats(rows), "session_id", "user_id", "team", "victories")
+    games = ranking.contests(last_seats(rows, ["team", "victories"]), "session_id", "user_id", "team", "victories")
     return ranking.rank_items(games, rows.select(F.col("user_id").alias("item"))).withColumnRenamed("item", "user_id")
 
 
@@ -22,17 +22,37 @@ def _keys():
     return ("day", day), ("faction", F.when(faction != "", faction))
 
 
-IDS = {"user_id": F.col, "session_id": F.col}
+def _ids():
+    return {n: F.col(n) for n in ("user_id", "session_id")}
 
 
 def p6_distinct(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = _keys()
-    return distinct.distinct_counts(table(spark, sf, "battle_rows"), a, b, {n: f(n) for n, f in IDS.items()})
+    """The matrices per day, faction and combination, with the counts estimated from them and their bounds."""
+    return distinct.distinct_counts(table(spark, sf, "battle_rows"), *_keys(), _ids())
+
+
+def p6_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The counts alone, one row per group."""
+    return distinct.group_counts(table(spark, sf, "battle_rows"), *_keys(), _ids())
 
 
 def p6_sketches(spark: SparkSession, sf: str) -> DataFrame:
-    """The mergeable partial results: matrix rows per day and faction."""
-    return distinct.sketch_rows(table(spark, sf, "battle_rows"), dict(_keys()), {n: f(n) for n, f in IDS.items()})
+    """The mergeable partial results of one pass: matrix rows per day and faction."""
+    return distinct.sketch_rows(table(spark, sf, "battle_rows"), dict(_keys()), _ids())
+
+
+def p6_within(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact counts of every group beside whether they lie within five standard errors (a chance of 1 in 1.7 million each)."""
+    a, b = _keys()
+    rows = table(spark, sf, "battle_rows")
+    wide = distinct.group_counts(rows, a, b, _ids(), z=5.0)
+    ids = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), c.alias("id")) for n, c in _ids().items()])).alias("i")
+    keys = rows.select(a[1].alias("day"), b[1].alias("faction"), ids).where("i.id is not null")
+    null = lambda t: F.lit(None).cast(t)
+    levels = F.explode(F.array(F.struct(F.lit("day,faction").alias("level"), "day", "faction"), F.struct(F.lit("day").alias("level"), "day", null("string").alias("faction")), F.struct(F.lit("faction").alias("level"), null("date").alias("day"), "faction"))).alias("l")
+    exact = keys.select(levels, "i.*").select("l.*", "field", "id").distinct().groupBy("level", "day", "faction", "field").agg(F.count("*").alias("exact"))
+    same = [F.col(f"e.{c}").eqNullSafe(F.col(f"w.{c}")) for c in ("level", "day", "faction", "field")]
+    return exact.alias("e").join(wide.alias("w"), same).select("e.*", F.col("exact").between(F.col("lower"), F.col("upper")).alias("within"))
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,5 +81,35 @@ def p9_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.split_documents(table(spark, sf, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_ranking, p6_distinct, p6_sketches, p7_found, p7_report, p8_mixture, p8_shares, p9_pieces)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_ranking, p6_distinct, p6_counts, p6_sketches, p6_within, p7_found, p7_report, p8_mixture, p8_shares, p9_pieces)}
+
+#: Fixed values of the 64-bit xxHash: its five primes.
+_PRIME = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+_M = "18446744073709551616::uhugeint"
+
+
+def _xx64(x: str) -> str:
+    """SQL for xxHash64 (seed 42) of a BIGINT as UHUGEINT, over the CTE chain that starts at relation ``src``."""
+    mul = lambda v, k: f"(({v}) * {_PRIME[k - 1]}::uhugeint) % {_M}"
+    rot = lambda v, n: f"((({v}) * {1 << n}::uhugeint) % {_M} + ({v}) // {1 << 64 - n}::uhugeint)"
+    return f"""h1 as (select *, {mul(f"case when {x} < 0 then ({x}::hugeint + 18446744073709551616)::uhugeint else {x}::uhugeint end", 2)} t from src),
+h2 as (select *, {mul(rot("t", 31), 1)} t2 from h1),
+h3 as (select *, xor({42 + _PRIME[4] + 8}::uhugeint % {_M}, t2) t3 from h2),
+h4 as (select *, ({mul(rot("t3", 27), 1)} + {_PRIME[3]}::uhugeint) % {_M} t4 from h3),
+h5 as (select *, {mul("xor(t4, t4 // 8589934592::uhugeint)", 2)} t5 from h4),
+h6 as (select *, {mul("xor(t5, t5 // 536870912::uhugeint)", 3)} t6 from h5),
+hashed as (select * exclude (t, t2, t3, t4, t5, t6), xor(t6, t6 // 4294967296::uhugeint) h from h6)"""
+
+
+_P6 = """with r as (select (timestamp '1970-01-01' + to_milliseconds(commit_time))::date "day", nullif(lower(trim(faction)), '') faction, user_id, session_id from battle_rows),
+i as (select "day", faction, 'user_id' field, user_id id from r where user_id is not null union all select "day", faction, 'session_id', session_id from r where session_id is not null)"""
+# The lowest set bit of the 53-bit rest of the hash; no set bit counts as rank 52.
+_P6_BITS = _P6 + ", src as (select distinct * from i), " + _xx64("id") + """,
+b as (select "day", faction, field, (h % 2048)::int bucket, (h // 2048)::bigint rest from hashed)
+select "day", faction, field, bucket, bit_or(case when rest = 0 then 1::bigint << 52 else rest & -rest end) bits from b group by all"""
+_LEVELS = """select 'day,faction' "level", "day", faction, {c} from x union all select 'day', "day", null, {c} from x union all select 'faction', null, faction, {c} from x"""
+
+ORACLE: dict[str, str] = {
+    "p6_sketches": _P6_BITS,
+    "p6_within": _P6 + ", x as (select distinct * from i), l as (" + _LEVELS.format(c="field, id") + """) select "level", "day", faction, field, count(distinct id) exact, true as "within" from l group by all""",
+}
