@@ -175,10 +175,9 @@ def mission_winrate(balance: DataFrame, missions: DataFrame) -> DataFrame:
     winner = F.when(F.col("won1"), "team_1_win").otherwise("team_2_win")
     x = balance.join(missions, "session_id").select("mission", group.alias("balance_group"), winner.alias("win_group"))
     cross = x.groupBy("mission", "balance_group", "win_group").agg(F.count("*").alias("cross_count"))
-    by_group = cross.groupBy("mission", "balance_group").agg(F.sum("cross_count").alias("balance_count"))
-    by_win = cross.groupBy("mission", "win_group").agg(F.sum("cross_count").alias("win_count"))
-    total = cross.groupBy("mission").agg(F.sum("cross_count").alias("games"))
-    return cross.join(by_group, ["mission", "balance_group"]).join(by_win, ["mission", "win_group"]).join(total, "mission").withColumn("session_dau", cross.agg(F.sum("cross_count")).scalar())
+    over = lambda *k: F.sum("cross_count").over(Window.partitionBy("mission", *k))
+    counted = cross.select("*", over("balance_group").alias("balance_count"), over("win_group").alias("win_count"), over().alias("games"))
+    return counted.withColumn("session_dau", F.sum("cross_count").over(Window.partitionBy()))  # at most six rows a mission
 
 
 def opponent_mean(rated: DataFrame) -> DataFrame:
@@ -244,16 +243,18 @@ def knn_bootstrap(asked: DataFrame, index: DataFrame, radius: int = 50, enough:
 
     asked (user_id, s), index (s, mmr, user_id). Ten or more neighbours within the radius: integer mean; fewer:
     80 % of the nearest (ties: lower score, then lower user); none or an index below ``least_index``: null.
-    The range becomes an equi-join on buckets as wide as the radius plus one, each probe asking three buckets.
+    Users never meet: the index is reduced to one row per score (count, sum, least user), the asked scores to
+    distinct ones, and the range join of those is an equi-join on buckets as wide as the radius plus one, each
+    score asking three buckets of at most that many scores. The answer per score then goes back to the users.
     """
     w = radius + 1
-    idx = index.select(F.floor(F.col("s") / w).alias("_b"), F.col("s").alias("_s"), F.col("mmr").alias("_mmr"), F.col("user_id").alias("_u"))
-    probe = asked.select("user_id", "s", F.explode(F.array(*[F.floor(F.col("s") / w) + d for d in (-1, 0, 1)])).alias("_b"))
+    idx = index.groupBy(F.col("s").alias("_s")).agg(F.count("*").alias("_n"), F.sum("mmr").alias("_t"), F.min(F.struct("user_id", "mmr")).alias("_u")).withColumn("_b", F.floor(F.col("_s") / w))
+    probe = asked.where(F.col("s").isNotNull()).select("s").distinct().select("s", F.explode(F.array(*[F.floor(F.col("s") / w) + d for d in (-1, 0, 1)])).alias("_b"))
     near = probe.join(idx, "_b").where(F.abs(F.col("s") - F.col("_s")) <= radius)
-    g = near.groupBy("user_id", "s").agg(F.count("*").alias("n"), F.sum("_mmr").alias("t"), F.min(F.struct(F.abs(F.col("s") - F.col("_s")), "_s", "_u", "_mmr")).alias("c"))
+    g = near.groupBy("s").agg(F.sum("_n").alias("n"), F.sum("_t").alias("t"), F.min(F.struct(F.abs(F.col("s") - F.col("_s")), "_s", "_u")).alias("c"))
     size = index.agg(F.count("*")).scalar()
-    guess = F.when(F.col("n") >= enough, num.int_div(F.col("t"), F.col("n"))).otherwise(num.sat_int(F.col("c._mmr") * 0.8))
-    return asked.join(g, ["user_id", "s"], "left").select("user_id", "s", F.coalesce("n", F.lit(0)).alias("neighbours"), F.when((size >= least_index) & (F.col("n") > 0), guess).alias("first_mmr"))
+    guess = F.when(F.col("n") >= enough, num.int_div(F.col("t"), F.col("n"))).otherwise(num.sat_int(F.col("c._u.mmr") * 0.8))
+    return asked.join(g, "s", "left").select("user_id", "s", F.coalesce("n", F.lit(0)).alias("neighbours"), F.when((size >= least_index) & (F.col("n") > 0), guess).alias("first_mmr"))
 
 
 def session_islands(rows: DataFrame, order: str, value: str, chunk: int = 65_536) -> DataFrame:

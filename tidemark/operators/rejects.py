@@ -1,10 +1,11 @@
 """Rows that fail to parse: typed records on one side, rejected lines with their reasons on the other.
 
 Structure (quoting, column counts, braces, keys) is checked per line with array expressions. Values are
-checked once per distinct value of a column: the lines are unfolded to (column, value), the distinct
-pairs are cast and range-checked, and those that fail form an invalid-value dictionary with reasons that
-is joined back. A value that fills a third of all lines is therefore cast once, and the join's hot side
-is the left one, which AQE can split.
+checked and cast once per distinct value of a column: the lines are unfolded to (column, value), and the
+distinct pairs form a dictionary of typed values and reasons. Its invalid part is joined back for the
+rejected lines, its valid part for the records, so no line is cast again. Values that fill more than one
+in ``HOT`` of a column (at most that many a column) are looked up in a broadcast, the others by a shuffle
+in which no value is hot.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from tidemark.session import cut
 
 SEP, ESC = "\u0001", "\u0002"
 BLANKS = " \t"
+HOT = 64
 
 
 @dataclass(frozen=True)
@@ -95,14 +97,20 @@ def _reason(fmt: Format, name: Column, value: Column) -> Column:
     return out
 
 
-def _typed(f: Field, value: Column) -> Column:
-    if f.kind == "hex":
-        return F.when(value != "", F.conv(value, 16, 10)).try_cast(f.sql_type).alias(f.name)
-    if f.kind == "flag":
-        return F.when(value != "", value == "1").alias(f.name)
-    if f.kind == "int":
-        return F.when(F.length(F.regexp_replace(value, "^0+(?=[0-9])", "")) <= 20, value).try_cast(f.sql_type).alias(f.name)
-    return value.alias(f.name)
+def _number(fmt: Format, name: Column, value: Column) -> Column:
+    """The typed value of an int, hex or flag column as DECIMAL(20,0); null for text and for what is empty or invalid."""
+    out = F.lit(None).cast("decimal(20,0)")
+    bare = F.regexp_replace(value, "^0+(?=[0-9])", "")
+    for f in fmt.fields:
+        if f.checked and f.kind != "text":
+            x = F.conv(value, 16, 10) if f.kind == "hex" else F.when(F.length(bare) <= 20, bare)
+            out = F.when(name == f.name, x.try_cast("decimal(20,0)")).otherwise(out)
+    return F.when(value != "", out)
+
+
+def _typed(f: Field) -> Column:
+    x = F.col(f"t.{f.name}")
+    return (x == 1 if f.kind == "flag" else x.cast(f.sql_type)).alias(f.name)
 
 
 def _quoted(df: DataFrame, fmt: Format) -> DataFrame:
@@ -193,16 +201,18 @@ def split_records(lines: DataFrame, fmt: Format, line: str = "line", key: tuple[
     parsed = cut((_quoted(base, fmt) if fmt.style == "quoted" else _pairs(base, fmt)).select(*ids, "_line", "_broken", "_kv"))
     checked = F.array(*[F.lit(f.name) for f in fmt.fields if f.checked])
     cells = parsed.where(F.col("_kv").isNotNull()).select(*ids, F.explode(F.map_filter("_kv", lambda k, _: F.array_contains(checked, k))).alias("_c", "_x"))
-    dictionary = (
-        cells.select("_c", "_x").distinct()
-        .select("_c", "_x", _reason(fmt, F.col("_c"), F.col("_x")).alias("_why"))
-        .where(F.col("_why").isNotNull())
-    )
-    by_value = (
-        cells.join(dictionary, ["_c", "_x"])
-        .groupBy(*ids)
-        .agg(F.array_sort(F.collect_set(F.concat_ws(": ", "_c", "_why"))).alias("_bad"))
-    )
+    c, x = F.col("_c"), F.col("_x")
+    dictionary = cut(cells.groupBy("_c", "_x").agg(F.count("*").alias("_n")).select("_c", "_x", "_n", _reason(fmt, c, x).alias("_why"), _number(fmt, c, x).alias("_num")))
+    often = F.col("_n") > parsed.count() / HOT
+
+    def looked_up(part: DataFrame) -> DataFrame:
+        """Cells with their entry of ``part`` of the dictionary; cells without one are left out."""
+        entry = ["_c", "_x", "_why", "_num"]
+        hot = cells.join(F.broadcast(part.where(often).select(*entry)), ["_c", "_x"])
+        usual = cells.join(F.broadcast(dictionary.where(often).select("_c", "_x")), ["_c", "_x"], "left_anti")
+        return hot.unionByName(usual.join(part.where(~often).select(*entry), ["_c", "_x"]))
+
+    by_value = looked_up(dictionary.where("_why is not null")).groupBy(*ids).agg(F.array_sort(F.collect_set(F.concat_ws(": ", "_c", "_why"))).alias("_bad"))
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ids]
     whole = parsed.alias("l").join(by_value.alias("r"), same, "left").select(
         *[F.col(f"l.{c}") for c in ids], F.col("l._line"), F.col("l._kv"),
@@ -210,5 +220,12 @@ def split_records(lines: DataFrame, fmt: Format, line: str = "line", key: tuple[
     )
     keys = [F.col(f"_key{i}").alias(k) for i, k in enumerate(key)]
     rejects = whole.where(F.col("_bad").isNotNull()).select(*keys, F.col("_line").alias(line), F.col("_bad").alias("reasons"))
-    records = whole.where(F.col("_bad").isNull()).select(*keys, *[_typed(f, F.col("_kv").getItem(f.name)) for f in fmt.fields])
+    # One typed row per line, repeated lines once: the largest of equal values.
+    of = lambda f: F.max(F.when(F.col("_c") == f.name, F.col("_x" if f.kind == "text" else "_num"))).alias(f.name)
+    typed = looked_up(dictionary.where("_why is null")).groupBy(*ids).agg(*[of(f) for f in fmt.fields if f.checked])
+    good = whole.where(F.col("_bad").isNull())
+    same = [F.col(f"w.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ids]
+    joined = good.alias("w").join(typed.alias("t"), same, "left")
+    keys = [F.col(f"w._key{i}").alias(k) for i, k in enumerate(key)]
+    records = joined.select(*keys, *[_typed(f) if f.checked else F.col("w._kv").getItem(f.name).cast(f.sql_type).alias(f.name) for f in fmt.fields])
     return records, rejects

@@ -61,7 +61,10 @@ def conv_valid(s, d):
     return _cells(_m(s, d), K.convolve(F.col("m"), KERNEL))
 
 
-@query()
+_f = [f"case when i >= {a} and j >= {b} then {KERNEL[a, b]}::double * m[i - {a} + 1][j - {b} + 1] else 0 end" for a in range(3) for b in range(3)]
+
+
+@query(M8 + f", x as (select id, list_transform(range(8), lambda i: list_transform(range(8), lambda j: {' + '.join(_f)})) o from m)" + FLAT)
 def conv_fft(s, d):
     return _cells(_m(s, d), K.convolve(F.col("m"), KERNEL, "fft"))
 

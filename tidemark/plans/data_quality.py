@@ -150,20 +150,51 @@ _P3 = " union all ".join([
 ])
 _NUM = "regexp_full_match({v}, '[0-9]+') and length(ltrim({v}, '0')) <= 20 and try_cast('0' || {v} as hugeint) between {lo} and {hi}"
 _FIELD = '("(?:[^"]|"")*"|[^";]*)'
-_P2_BATTLE = f"""with x as (select line_id, regexp_extract(regexp_replace(regexp_replace(line, '^\ufeff', ''), '\\r\\z', ''), '\\A{";".join([_FIELD] * 10)}\\z', ['f0', 'f1', 'f2', 'f3', 'f4', 'f5', 'f6', 'f7', 'f8', 'f9']) s from raw_battle_lines),
-v as (select line_id, {", ".join(f"case when s.f{i}[1] = chr(34) then replace(s.f{i}[2:-2], repeat(chr(34), 2), chr(34)) else trim(s.f{i}, ' ' || chr(9)) end v{i}" for i in range(9))} from x)
-select 'raw_battle_lines' feed, line_id from v where not coalesce(({_NUM.format(v="v0", lo=1, hi=2**63 - 1)}) and regexp_full_match(v1, '[0-9a-fA-F]{{1,16}}')
-  and ({_NUM.format(v="v2", lo=1262304000000, hi=1735689599999)}) and ({_NUM.format(v="v3", lo=1, hi=2)}) and (v4 = '' or {_NUM.format(v="v4", lo=0, hi=2**32 - 1)})
+_P2_CELLS = f"""with x as (select line_id, file_name, regexp_replace(regexp_replace(line, '^\ufeff', ''), '\\r\\z', '') b, regexp_extract(b, '\\A{";".join([_FIELD] * 10)}\\z', ['f0', 'f1', 'f2', 'f3', 'f4', 'f5', 'f6', 'f7', 'f8', 'f9']) s from raw_battle_lines),
+v as (select line_id, file_name, b, {", ".join(f"case when s.f{i}[1] = chr(34) then replace(s.f{i}[2:-2], repeat(chr(34), 2), chr(34)) else trim(s.f{i}, ' ' || chr(9)) end v{i}" for i in range(10))} from x)"""
+_INT = (("v0", 1, 2**63 - 1), ("v2", 1262304000000, 1735689599999), ("v3", 1, 2))
+_P2_VALID = f"""coalesce({" and ".join("(" + _NUM.format(v=v, lo=a, hi=b) + ")" for v, a, b in _INT)} and regexp_full_match(v1, '[0-9a-fA-F]{{1,16}}') and (v4 = '' or {_NUM.format(v="v4", lo=0, hi=2**32 - 1)})
   and v5 in ('', '0', '1') and v6 in ('', '0', '1') and v7 in ('', '0', '1') and v8 <> '', false)"""
+_P2_BATTLE = f"{_P2_CELLS} select 'raw_battle_lines' feed, line_id from v where not {_P2_VALID}"
+_P2_RECORDS = f"""{_P2_CELLS} select line_id, v0::bigint user_id, ('0x' || v1)::ubigint::decimal(20,0) session_id, v2::bigint commit_time, v3::tinyint team, nullif(v4, '')::bigint battle_score,
+  {", ".join(f"case v{i} when '1' then true when '0' then false end {n}" for i, n in ((5, "victories"), (6, "early_quit"), (7, "team_score_top_20_percent")))}, v8 faction, v9 remark from v where {_P2_VALID}"""
+
+
+def _why(v: str, name: str, lo: int | None = None, hi: int | None = None, rule: str | None = None, empty: bool = False) -> str:
+    """Reason of one cell as SQL, null where it is valid."""
+    tests = f"when not regexp_full_match({v}, '[0-9]+') then '{name}: not a number' when not coalesce({_NUM.format(v=v, lo=lo, hi=hi)}, false) then '{name}: out of range'" if rule is None else rule.format(v=v, name=name)
+    return f"case when {v} = '' then {'null' if empty else f"'{name}: empty'"} {tests} end"
+
+
+_FLAG = "when {v} not in ('0', '1') then '{name}: not a flag'"
+_BATTLE_WHY = [
+    _why("v0", "user_id", 1, 2**63 - 1), _why("v1", "session_id", rule="when not regexp_full_match({v}, '[0-9a-fA-F]{{1,16}}') then '{name}: not 1 to 16 hexadecimal digits'"), _why("v2", "commit_time", 1262304000000, 1735689599999), _why("v3", "team", 1, 2),
+    _why("v4", "battle_score", 0, 2**32 - 1, empty=True), *[_why(f"v{i}", n, rule=_FLAG, empty=True) for i, n in ((5, "victories"), (6, "early_quit"), (7, "team_score_top_20_percent"))], _why("v8", "faction", rule=""),
+]
+# A quoted stretch stands for itself as one mark, so that fields can be counted and text beside quotes shows.
+_P2_BATTLE_WHY = f"""{_P2_CELLS}, q as (select *, string_split(regexp_replace(b, '"[^"]*"', chr(1), 'g'), ';') f from v),
+w as (select file_name, case when b is null then ['line is null'] when (length(b) - length(replace(b, chr(34), ''))) % 2 = 1 then ['unclosed quote']
+  when len(list_filter(f, lambda z: contains(z, chr(1)) and not regexp_full_match(z, '\\x01+'))) > 0 then ['text beside quotes'] when len(f) <> 10 then ['expected 10 fields, found ' || len(f)]
+  else list_filter([{", ".join(_BATTLE_WHY)}], lambda z: z is not null) end r from q)
+select 'raw_battle_lines' feed, file_name, unnest(r) reason from w"""
 _BARE = "regexp_replace(trim({v}, ' ' || chr(9)), '\\A\"((?s:.*))\"\\z', '\\1')"
-_P2_BOARD = f"""with t as (select line_id, trim(line, ' ' || chr(9) || chr(13)) t from raw_leaderboard_lines),
-e as (select line_id, t, starts_with(t, '{{') a, ends_with(t, '}}') b, case when starts_with(t, '{{') and ends_with(t, '}}') and length(t) > 1 then t[2:-2] else t end i from t),
+_BOARD_INTS = ("mmr", "battles", "victories", "early_quites", "top_20", "battle_score")
+_P2_PAIRS = f"""with t as (select line_id, file_name, trim(line, ' ' || chr(9) || chr(13)) t from raw_leaderboard_lines),
+e as (select *, starts_with(t, '{{') a, ends_with(t, '}}') b, case when starts_with(t, '{{') and ends_with(t, '}}') and length(t) > 1 then t[2:-2] else t end i from t),
 p as (select *, list_transform(string_split(i, ','), lambda q: string_split(q, ':')) q from e),
-k as (select *, list_transform(q, lambda z: {_BARE.format(v="z[1]")}) ks, list_transform(q, lambda z: {_BARE.format(v="z[2]")}) vs from p)
-select 'raw_leaderboard_lines' feed, line_id from k where not coalesce((a = b) and (not a or length(t) > 1) and len(list_filter(q, lambda z: len(z) <> 2)) = 0 and len(list_distinct(ks)) = len(ks) and list_contains(ks, 'user_id')
+k as (select *, list_transform(q, lambda z: {_BARE.format(v="z[1]")}) ks, list_transform(q, lambda z: {_BARE.format(v="z[2]")}) vs from p)"""
+_P2_BOARD_VALID = f"""coalesce((a = b) and (not a or length(t) > 1) and len(list_filter(q, lambda z: len(z) <> 2)) = 0 and len(list_distinct(ks)) = len(ks) and list_contains(ks, 'user_id')
   and len(list_filter(list_zip(ks, vs), lambda z: not coalesce(case when z[1] = 'user_id' then {_NUM.format(v="z[2]", lo=1, hi=2**63 - 1)} when z[1] = 'last_session' then {_NUM.format(v="z[2]", lo=0, hi=2**63 - 1)}
-    when z[1] in ('mmr', 'battles', 'victories', 'early_quites', 'top_20', 'battle_score') then {_NUM.format(v="z[2]", lo=0, hi=2**32 - 1)} end, false))) = 0, false)"""
-
+    when z[1] in {_BOARD_INTS} then {_NUM.format(v="z[2]", lo=0, hi=2**32 - 1)} end, false))) = 0, false)"""
+_P2_BOARD = f"{_P2_PAIRS} select 'raw_leaderboard_lines' feed, line_id from k where not {_P2_BOARD_VALID}"
+_P2_BOARD_RECORDS = f"{_P2_PAIRS} select line_id, " + ", ".join(f"vs[list_position(ks, '{n}')]::bigint {n}" for n in ("user_id", *_BOARD_INTS, "last_session")) + f" from k where {_P2_BOARD_VALID}"
+_KEY_WHY = "case when z[2] = '' then z[1] || ': empty' when not regexp_full_match(z[2], '[0-9]+') then z[1] || ': not a number' when not coalesce(case z[1] " + " ".join(
+    f"when '{n}' then {_NUM.format(v='z[2]', lo=lo, hi=hi)}" for n, lo, hi in (("user_id", 1, 2**63 - 1), ("last_session", 0, 2**63 - 1), *((n, 0, 2**32 - 1) for n in _BOARD_INTS))) + " end, false) then z[1] || ': out of range' end"
+_P2_BOARD_WHY = f"""{_P2_PAIRS}, w as (select file_name, case when t is null then ['line is null'] when (a or b) and not (a and b and length(t) > 1) then ['unbalanced braces']
+  when len(list_filter(q, lambda z: len(z) <> 2)) > 0 then ['entry without exactly one colon'] when len(list_filter(ks, lambda z: z not in {("user_id", *_BOARD_INTS, "last_session")})) > 0 then ['unknown key']
+  when len(list_distinct(ks)) <> len(ks) then ['repeated key'] when not list_contains(ks, 'user_id') then ['required key missing']
+  else list_filter(list_transform(list_zip(ks, vs), lambda z: {_KEY_WHY}), lambda z: z is not null) end r from k)
+select 'raw_leaderboard_lines' feed, file_name, unnest(r) reason from w"""
 _P4 = """with s as (select user_id, session_id, commit_time, battle_score, early_quit, team_score_top_20_percent t from battle_rows where user_id is not null and session_id is not null
   qualify row_number() over (partition by user_id, session_id order by ingest_time desc nulls last, row_id desc) = 1),
 m as (select distinct session_id_str session_id, mission from session_mission where mission is not null and session_id_str is not null),
@@ -172,6 +203,9 @@ l as (select user_id, mission, count(*) battles, (select max(commit_time) from b
 
 ORACLE = {
     "p2_found": f"select * from ({_P2_BATTLE}) union all select * from ({_P2_BOARD})",
+    "p2_reasons": f"select feed, file_name, reason, count(*) lines from (select * from ({_P2_BATTLE_WHY}) union all select * from ({_P2_BOARD_WHY})) group by all",
+    "p2_battle_records": _P2_RECORDS,
+    "p2_leaderboard_records": _P2_BOARD_RECORDS,
     "p3_found": f"select row_id, field from ({_P3})",
     "p3_report": f"select field, \"day\", count(*) orphans from ({_P3}) group by 1, 2",
     "p5_frozen": """with c as (select catch_id, min(lower(trim("name"))) src, min(ts) tm, min(long) long, min(mass) mass, min(exp_sum) exp_sum from catches where "name" is not null and catch_id is not null group by 1),

@@ -27,7 +27,7 @@ def process_samples(s, d):
 
 
 def process_totals(s, d):
-    return M.process_totals(M.process_samples(_samples(s, d)))
+    return M.process_totals(_samples(s, d))
 
 
 QUERIES = {"process_samples": process_samples, "process_totals": process_totals}

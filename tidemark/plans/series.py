@@ -64,40 +64,53 @@ def series_normalise(s, d):
     return _filled(s, d).select("id", F.posexplode(S.normalise(F.col("v"))).alias("x", "y")).select("id", F.col("x").cast("long").alias("x"), F.round("y", 4).alias("y"))
 
 
-@query(HOURS + " select x, count(*) n, round(sum(y), 3) total from h group by 1")
+@query(HOURS + " select x id, id x, round(y, 4) y from h")
 def series_transpose(s, d):
-    return S.transpose(_hours(s, d)).withColumn("total", F.round("total", 3))
+    return S.transpose(_hours(s, d)).withColumn("y", F.round("y", 4))
 
 
 @query("""select a.vec_id id1, b.vec_id id2, round(sqrt(list_sum(list_transform(range(1, 65), lambda j: (a.embedding[j]::double - b.embedding[j]::double) * (a.embedding[j]::double - b.embedding[j]::double)))), 4) distance
-from embeddings a join embeddings b on b.vec_id = a.vec_id + 1""")
+from embeddings a join embeddings b on a.vec_id % 50 = 0""")
 def euclid_dense(s, d):
     v = _vectors(s, d)
-    j = v.select(F.col("id").alias("id1"), F.col("v").alias("a"), (F.col("id") + 1).alias("id2")).join(v.select(F.col("id").alias("id2"), F.col("v").alias("b")), "id2")
-    return j.select("id1", "id2", F.round(S.euclid(F.col("a"), F.col("b")), 4).alias("distance"))
+    return S.against_all(v, v.where("id % 50 = 0")).select("id1", "id2", F.round(S.euclid(F.col("a"), F.col("b")), 4).alias("distance"))
 
 
-@query(HOURS + " select a.id id1, b.id id2, round(sqrt(sum((a.y - b.y) * (a.y - b.y))), 3) distance from h a join h b on b.id = a.id + 1 and a.x = b.x group by 1, 2")
+@query(HOURS + " select a.id id1, b.id id2, round(sqrt(sum((a.y - b.y) * (a.y - b.y))), 3) distance from h a join h b on a.id % 50 = 0 and a.x = b.x group by 1, 2")
 def euclid_sparse(s, d):
     h = _hours(s, d)
-    ids = h.select("id").distinct()
-    pairs = ids.select(F.col("id").alias("id1"), (F.col("id") + 1).alias("id2"))
-    return S.euclid_sparse(pairs, h).withColumn("distance", F.round("distance", 3))
+    ids = h.select("id").distinct().withColumn("v", F.lit(0))
+    return S.euclid_sparse(S.against_all(ids, ids.where("id % 50 = 0")).select("id1", "id2"), h).withColumn("distance", F.round("distance", 3))
 
 
-def _neighbours(s, d):
-    v = _filled(s, d).select("id", S.normalise(F.col("v")).alias("v")).where(~F.exists("v", lambda x: x.isNull()))
-    return v.select(F.col("id").alias("id1"), F.col("v").alias("a"), (F.col("id") + 1).alias("id2")).join(v.select(F.col("id").alias("id2"), F.col("v").alias("b")), "id2")
+def _normalised(s, d):
+    """Normalised hourly series; one of zeros only has no normal form (null places), and no distance."""
+    return _filled(s, d).select("id", S.normalise(F.col("v")).alias("v"))
 
 
-@query()
+def _asked(s, d):
+    v = _normalised(s, d)
+    return S.against_all(v, v.where("id % 50 = 0"))
+
+
+def _dtw_sql(window: int | None) -> str:
+    """Cost table row by row, each row place by place, as nested folds over lists."""
+    inside = "true" if window is None else f"j >= i - {window} and j < i + {window}"
+    cell = f"case when {inside} then (a[i + 1] - b[j + 1]) * (a[i + 1] - b[j + 1]) + case when i = 0 and j = 0 then 0 else least(prev[j + 1], case when j > 0 then prev[j] else 'inf'::double end, case when j > 0 then acc[j] else 'inf'::double end) end else 'inf'::double end"
+    row = f"list_reduce(range(24), lambda acc, j: acc || [{cell}], []::double[])"
+    return FILLED + f""", r as (select id, sqrt(avg(y * y)) q from g group by 1), v as (select id, list(case when q > 0 then 2 * y / (3 * q) end order by x) v, q from g join r using (id) group by id, q),
+p as (select a.id id1, a.v a, b.id id2, b.v b, a.q > 0 and b.q > 0 ok from v a join v b on a.id % 50 = 0)
+select id1, id2, case when ok then round(sqrt((list_reduce(range(24), lambda prev, i: {row}, list_transform(range(24), lambda k: 'inf'::double)))[24]), 4) end distance from p"""
+
+
+@query(_dtw_sql(None))
 def dtw_full(s, d):
-    return _neighbours(s, d).select("id1", "id2", F.round(S.dtw(F.col("a"), F.col("b")), 4).alias("distance"))
+    return _asked(s, d).select("id1", "id2", F.round(S.dtw(F.col("a"), F.col("b")), 4).alias("distance"))
 
 
-@query()
+@query(_dtw_sql(3))
 def dtw_banded(s, d):
-    return _neighbours(s, d).select("id1", "id2", F.round(S.dtw(F.col("a"), F.col("b"), 3), 4).alias("distance"))
+    return _asked(s, d).select("id1", "id2", F.round(S.dtw(F.col("a"), F.col("b"), 3), 4).alias("distance"))
 
 
 @query(ASSIGN_SQL + "select id, cluster::int cluster, round(distance, 4) distance from a")
@@ -171,6 +184,15 @@ def share_groups(s, d):
     return S.share_groups(_revenue(s, d)).withColumns({"arpu": F.round("arpu", 3), "au_rate": F.round("au_rate", 5)})
 
 
+@query(ASSIGN_SQL + """, m as (select cluster, x, avg(y) y from (select cluster, unnest(v) y, generate_subscripts(v, 1) x from a join e using (id)) group by 1, 2),
+n as (select p.cluster, q.cluster peer, sqrt(sum((p.y - q.y) * (p.y - q.y))) dist from m p join m q on p.x = q.x and p.cluster <> q.cluster group by 1, 2)
+select cluster::int cluster, (arg_min(peer, row(dist, peer)))::int peer, round(min(dist), 4) distance from n group by 1""")
+def nearest_peers(s, d):
+    """The nearest other centroid of every cluster."""
+    found = S.nearest_peers(S.collect_centroids(S.means(_assigned(s, d))), EUCLID)
+    return s.createDataFrame(found, "cluster int, peer int, distance double").withColumn("distance", F.round("distance", 4))
+
+
 @query()
 def cluster_dups(s, d):
     """Near-equal centroids of the assignment and the peer they merge into."""
