@@ -10,7 +10,7 @@ from tidemark.llm import distinct, leakage, mixing, ranking, ranks, splitting, t
 from tidemark.llm.words import words
 
 SMALL = ranking.RankRules(iterations=40, block_seats=60, part_items=7)
-TINY = ranking.RankRules(iterations=6, block_seats=5, part_items=4)  # every contest is larger than a block
+TINY = ranking.RankRules(iterations=6, block_seats=5, part_items=4, steady=0.0)  # every contest is larger than a block
 
 
 # --- ranking -----------------------------------------------------------------------------------------
@@ -72,7 +72,7 @@ def test_ranking_mixes_large_and_small_contests(spark):
     for i in range(40):  # one contest of all
         rows.append((900, i, 1 + i % 2, i % 2 == 0))
     got = ranking.rank_items(ranking.contests(spark.createDataFrame(rows, "session long, item long, team int, won boolean"), "session", "item", "team", "won"),
-                             spark.range(43).withColumnRenamed("id", "item"), ranking.RankRules(iterations=4, block_seats=30, part_items=10)).orderBy("item").toPandas()
+                             spark.range(43).withColumnRenamed("id", "item"), ranking.RankRules(iterations=4, block_seats=30, part_items=10, steady=0.0)).orderBy("item").toPandas()
     want = dense_sinkhorn(rows, 43, iterations=4)
     assert np.allclose(got.strength, want, rtol=1e-6) and not got.converged.any()
     assert got.wins.sum() == got.losses.sum() == 30 * 3 + 20 and list(got.wins[40:]) == [0, 0, 0]
