@@ -318,15 +318,34 @@ def naive_merge(grade, n, cap):
 
 
 def test_agglomeration_equals_the_naive_one():
+    """Also from atoms, as long as no run of forbidden boundaries (a character of several tokens) exceeds a piece."""
     rng = random.Random(9)
-    for _ in range(150):
-        n, cap = rng.randrange(2, 70), rng.randrange(3, 20)
-        grade = np.array([0] + [rng.choice([-1, 0, 0, 1, 1, 1, 2, 3, 4, 5]) for _ in range(n)])
-        cuts = splitting.agglomerate(splitting.atoms(grade, n, cap), grade, n, cap)
-        edges = [0, *cuts, n]
-        assert all(b - a <= cap for a, b in zip(edges[:-1], edges[1:]))
-        # With every boundary as its own atom the heap must do what the naive loop does.
-        assert splitting.agglomerate(list(range(1, n)), grade, n, cap) == naive_merge(grade.tolist(), n, cap)
+    for _ in range(1500):
+        n, cap = rng.randrange(2, 70), rng.randrange(5, 20)
+        grade = [0] + [rng.choice([-1, 0, 0, 1, 1, 1, 2, 3, 4, 5]) for _ in range(n)]
+        for i in range(3, n + 1):
+            if grade[i - 3 : i] == [-1] * 3:
+                grade[i] = max(grade[i], 0)
+        grade = np.array(grade)
+        want = naive_merge(grade.tolist(), n, cap)
+        assert splitting.agglomerate(list(range(1, n)), grade, n, cap) == want
+        assert splitting.agglomerate(splitting.atoms(grade, n, cap), grade, n, cap) == want
+
+
+def test_pieces_that_grow_alone_are_merged_anew():
+    """Where a piece needs more tokens alone than inside the text, the same merging runs again with less room."""
+    text = "".join(random.Random(5).choice(["ab", "é", "字", " ", "👍", "x1", "\n"]) for _ in range(4000))
+    for limit, overlap in ((16, 3), (24, 0), (40, 12)):
+        pieces = splitting.split_text(text, splitting.SplitRules(limit, overlap))
+        assert all(p[3] <= limit for p in pieces) and "".join(text[p[1] : p[2]] for p in pieces) == text
+
+
+def test_recall_of_repetitions():
+    r = leakage.recall_of(leakage.LeakRules(), trials=500)
+    assert (np.diff(r) >= 0).all() and r[0] > 0.6 and r[-1] > 0.998
+    need = leakage.repetitions_for(leakage.LeakRules(target_recall=0.9))
+    assert need <= leakage.repetitions_for(leakage.LeakRules()) <= 16 and leakage.recall_of(leakage.LeakRules(repetitions=0, target_recall=0.9))[need - 1] >= 0.9
+    assert leakage.repetitions_for(leakage.LeakRules(repetitions=3)) == 3
 
 
 TEXTS = [

@@ -5,10 +5,15 @@ most one word in ``per_edit`` changed, left out or added.
 
 1. Every word position of a document and of an item starts a window. A CGK random walk embeds the window:
    at each step it emits the current word and moves on or stays by a random bit of (step, word), so that a
-   small edit distance becomes a small Hamming distance of the emitted strings.
+   small edit distance becomes a small Hamming distance of the emitted strings. A walk of ``steps`` covers
+   about half as many words: a window as long as a stretch would have to start at its first words and survive
+   all its edits, while the shorter ones start anywhere in it and have to survive those they meet.
 2. Bit sampling: each repetition has its own walk and its own sample of steps; windows whose sampled words
-   agree are candidates. The repetitions are chosen for the recall of ``recall_of``.
-3. Candidates are verified by exact banded edit alignment to both sides of the agreeing word.
+   agree are candidates. There are as many repetitions as ``recall_of`` needs for ``target_recall``.
+3. Candidates are verified by edit alignment to both sides of the agreeing word. The alignment is banded and
+   looks ``reach`` words far, which loses nothing: cut a leaking stretch into parts of 20 to 39 words; as its
+   edits are at most one in six, so are those of one of the parts, which is then a leaking stretch itself, of
+   at most six edits, and shifts by less than the band.
 
 The items' index is small (their windows times the repetitions) and is broadcast in blocks of at most
 ``block_words`` item words, each block against all documents; the corpus is only scanned, never shuffled.
@@ -17,7 +22,8 @@ The items' index is small (their windows times the repetitions) and is broadcast
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +41,52 @@ class LeakRules:
     per_edit: int = 6
     steps: int = 22
     samples: int = 5
-    repetitions: int = 7
+    target_recall: float = 0.9999
+    repetitions: int | None = None
     reach: int = 40
     band: int = 8
     block_words: int = 500_000
     seed: int = 7
 
 
+@lru_cache(maxsize=8)
+def recall_of(rules: LeakRules, trials: int = 2000, seed: int = 1, most: int = 16) -> np.ndarray:
+    """Share of the shortest leaking stretches that 1, 2, .. ``most`` repetitions find: stretches of ``stretch`` words with
+    as many edits as are allowed, at random places, each changed, left out or added, in a text of other words.
+
+    A stretch is found if a window of the text agrees with the item's window of an equal word that an alignment
+    of the two can run through, that is, within the band of the stretch's own place."""
+    rng = np.random.default_rng(seed)
+    n, edits = rules.stretch, rules.stretch // rules.per_edit
+    found = np.zeros(most)
+    fixed = replace(rules, repetitions=most)
+    words_ = [(k, [b"%d.%d" % (k, i) for i in range(2 * n)]) for k in range(trials)]
+    index = Index(words_, fixed)
+    for k, ws in words_:
+        text = list(ws[n // 2 : n // 2 + n])
+        for at in sorted(rng.choice(n, edits, replace=False), reverse=True):
+            text[at : at + 1] = ([b"?"], [], [b"?", text[at]])[rng.integers(3)]
+        doc = np.array([DOC_PAD] * fixed.steps + [index.vocab[w] for w in text] + [DOC_PAD] * 2 * fixed.steps, np.int32)
+        at = np.flatnonzero(doc > 0)
+        first = most
+        for r in range(most):
+            key, whole = index.embed(doc, at, r)
+            lo, hi = np.searchsorted(index.keys[r], key, "left"), np.searchsorted(index.keys[r], key, "right")
+            if (whole & (hi > lo)).any() and any(doc[p] == index.seq[q] and index.item_of[q] == k for p, a, b, w in zip(at, lo, hi, whole) if w for q in index.places[r][a:b]):
+                first = r
+                break
+        found[first:] += 1
+    return found / trials
+
+
+def repetitions_for(rules: LeakRules) -> int:
+    """The fewest repetitions that reach the target recall; the most that ``recall_of`` tries if none does."""
+    if rules.repetitions is not None:
+        return rules.repetitions
+    reached = np.flatnonzero(recall_of(replace(rules, repetitions=0)) >= rules.target_recall)
+    return int(reached[0]) + 1 if len(reached) else 16
+
+
 class _Vocabulary(dict):
     def __missing__(self, _):
         return 0
@@ -51,7 +96,7 @@ class Index:
     """Item words, walk bits and the sampled keys of every item window, per repetition."""
 
     def __init__(self, items: list[tuple[int, list[str]]], rules: LeakRules):
-        self.rules = rules
+        self.rules = rules = replace(rules, repetitions=repetitions_for(rules))
         self.vocab = _Vocabulary()
         seq, item_of, self.ids = [], [], []
         for n, (item, ws) in enumerate(items):

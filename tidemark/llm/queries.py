@@ -16,6 +16,11 @@ def p1_ranking(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.rank_items(games, rows.select(F.col("user_id").alias("item"))).withColumnRenamed("item", "user_id")
 
 
+def p1_tallies(spark: SparkSession, sf: str) -> DataFrame:
+    """Comparisons won and lost by every ranked user, as the ranking counts them in its blocks."""
+    return p1_ranking(spark, sf).select("user_id", "wins", "losses")
+
+
 def _keys():
     day = F.to_date(F.timestamp_millis(F.col("commit_time")))
     faction = F.lower(F.btrim(F.col("faction")))
@@ -77,11 +82,35 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf)[1]
 
 
+def p8_within(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether every target source keeps its cap and takes what it was asked for to within its longest document."""
+    sized = mixing.sizes(table(spark, sf, "documents"), "doc_id", "text", "source")
+    mixture, shares = mixing.mix(sized, table(spark, sf, "mix_targets"))
+    longest = mixture.groupBy("source").agg(F.max("tokens").alias("longest"))
+    whole = shares.agg(F.sum("tokens")).scalar()
+    return shares.withColumn("whole", whole).join(longest, "source", "left").select(
+        "source", (F.col("most_repeats") <= F.col("max_repeats")).alias("in_cap"),
+        # The whole is itself a sum of sources that each miss their share by up to half a document.
+        (F.abs(F.col("tokens") - F.col("target_share") * F.col("whole")) <= F.coalesce("longest", F.lit(0)) + 0.01 * F.col("whole")).alias("on_share"))
+
+
 def p9_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.split_documents(table(spark, sf, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_ranking, p6_distinct, p6_counts, p6_sketches, p6_within, p7_found, p7_report, p8_mixture, p8_shares, p9_pieces)}
+def p9_tiling(spark: SparkSession, sf: str) -> DataFrame:
+    """Of every text: length, and whether its pieces (if it has any) are within the limit, tile it and end as numbered."""
+    rules = splitting.SplitRules()
+    docs = table(spark, sf, "documents").where(F.col("text").isNotNull()).select("doc_id", F.length("text").cast("long").alias("chars"))
+    p = splitting.split_documents(table(spark, sf, "documents"), "doc_id", "text", rules)
+    own = p.groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.max("pieces").alias("pieces"), F.max("tokens").alias("most"), F.sum(F.col("end_char") - F.col("own_start_char")).alias("own"), F.max("end_char").alias("end"),
+        F.min("own_start_char").alias("start"), F.countDistinct("piece").alias("places"), F.bool_and(F.length("text") == F.col("end_char") - F.col("start_char")).alias("cut_right"))
+    tiled = (F.col("own") == F.col("chars")) & (F.col("end") == F.col("chars")) & (F.col("start") == 0) & (F.col("n") == F.col("pieces")) & (F.col("places") == F.col("n")) & F.col("cut_right")
+    return docs.join(own, "doc_id", "left").select("doc_id", "chars", F.coalesce(F.col("most") <= rules.limit, F.lit(True)).alias("in_limit"), F.coalesce(tiled, F.lit(True)).alias("tiled"))
+
+
+QUERIES = {f.__name__: f for f in (p1_ranking, p1_tallies, p6_distinct, p6_counts, p6_sketches, p6_within, p7_found, p7_report, p8_mixture, p8_shares, p8_within, p9_pieces, p9_tiling)}
 
 #: Fixed values of the 64-bit xxHash: its five primes.
 _PRIME = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
@@ -110,6 +139,15 @@ select "day", faction, field, bucket, bit_or(case when rest = 0 then 1::bigint <
 _LEVELS = """select 'day,faction' "level", "day", faction, {c} from x union all select 'day', "day", null, {c} from x union all select 'faction', null, faction, {c} from x"""
 
 ORACLE: dict[str, str] = {
+    "p1_tallies": """with s as (select user_id, session_id, team, victories from battle_rows where user_id is not null and session_id is not null
+  qualify row_number() over (partition by user_id, session_id order by ingest_time desc nulls last, row_id desc) = 1),
+t as (select * from s where team in (1, 2)),
+r as (select session_id, sum(case when victories then 1 when not victories then -1 else 0 end * case when team = 1 then 1 else -1 end) vote from t group by 1
+  having vote <> 0 and count(*) filter (where team = 1) > 0 and count(*) filter (where team = 2) > 0),
+w as (select user_id, (team = 1) = (vote > 0) won from t join r using (session_id))
+select user_id, count(*) filter (where won) wins, count(*) filter (where not won) losses from (select distinct user_id from battle_rows where user_id is not null) left join w using (user_id) group by 1""",
+    "p8_within": "select source, true in_cap, true on_share from mix_targets",
+    "p9_tiling": "select doc_id, length(text) chars, true in_limit, true tiled from documents where text is not null",
     "p6_sketches": _P6_BITS,
     "p6_within": _P6 + ", x as (select distinct * from i), l as (" + _LEVELS.format(c="field, id") + """) select "level", "day", faction, field, count(distinct id) exact, true as "within" from l group by all""",
 }

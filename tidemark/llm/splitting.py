@@ -2,9 +2,11 @@
 
 Token boundaries of the whole text are graded: paragraph, line, sentence, clause, word, none. Adjacent
 segments sit in a heap keyed by the grade between them, then by their joint size, and the weakest boundaries
-merge first while the joint size plus the overlap fits the limit. A stretch that fits as a whole would be
-merged completely before any boundary of its own grade is looked at, so it starts as one atom; only
-stretches that don't fit are taken apart to the next finer grade.
+merge first while the joint size plus the overlap fits the limit. A stretch between boundaries of some grade
+whose inner boundaries are all weaker and which fits as a whole is merged completely before any boundary of
+that grade is looked at: each of its pairs lies inside it, so none is ever too large. Such a stretch starts
+as one atom; only stretches that don't fit are taken apart to the next finer grade. The result is that of
+merging from single tokens, as long as no character has more tokens than a piece may hold.
 """
 
 from __future__ import annotations
@@ -143,14 +145,14 @@ def split_text(text: str, rules: SplitRules) -> list[tuple]:
             s += 1  # the overlap starts with a whole character
         piece = data[offset[s] : offset[b]].decode("utf-8", "replace")
         size = len(encode(piece, rules.path))
-        allowed = np.flatnonzero(grade[a + 1 : b] >= 0) + a + 1
-        if size > rules.limit and len(allowed):
-            # Taken alone the piece needs more tokens than inside the text: cut it once more, at the strongest
-            # boundary of its second half.
-            late = allowed[allowed > (a + b) // 2]
-            late = late if len(late) else allowed
-            queue.append(int(late[np.argmax(grade[late] * (n + 1) + late)]))
-            continue
+        if size > rules.limit:
+            # Taken alone the piece needs more tokens than inside the text: merge its part anew with so much less room.
+            part = np.r_[0, grade[a + 1 : b], 0]
+            room = max(1, b - a - (size - rules.limit))
+            again = agglomerate(atoms(part, b - a, room), part, b - a, room)
+            if again:
+                queue += [a + c for c in reversed(again)]
+                continue
         queue.pop()
         out.append((int(chars[offset[s]]), int(chars[offset[a]]), int(chars[offset[b]]), size, "end" if b == n else GRADES[max(0, int(grade[b]))], piece))
         a = b
@@ -160,7 +162,8 @@ def split_text(text: str, rules: SplitRules) -> list[tuple]:
 def split_documents(documents: DataFrame, key: str, text: str, rules: SplitRules = SplitRules()) -> DataFrame:
     """Ordered pieces of every text of more than ``limit`` tokens; one narrow pass, no shuffle.
 
-    Every piece has at most ``limit`` tokens when taken alone, the pieces' own parts (own_start_char to
+    Every piece has at most ``limit`` tokens when taken alone (short of a limit below what one character and its
+    overlap need), the pieces' own parts (own_start_char to
     end_char) tile the text, and each piece but the first starts ``overlap`` tokens earlier (at the next whole
     character where a token is part of one). Null texts and texts within the limit give no rows; repeated
     rows are split each; a null key stays null. Extra columns are ignored; an empty table gives none.
