@@ -54,6 +54,7 @@ ODD = [
     GOOD.replace("864", "٣"), GOOD.replace(";2;", ";3;"), GOOD.replace("100068684a1a", "0" * 17), GOOD.replace("100068684a1a", "ffffffffffffffff"), GOOD.replace("faction_1", '""'),
     GOOD.replace("faction_1", " "), GOOD.replace("13700835", "0"), GOOD.replace("13700835", "9223372036854775808"), GOOD.replace("13700835", "000009223372036854775807"),
     GOOD.replace("13700835", '" 13700835"'), GOOD.replace("13700835", '"13700835"'), GOOD + '"' + 'q""' * 50_000 + '"', GOOD + "z" * 200_000, GOOD.replace("1357180411384", "1735689600000"),
+    GOOD.replace("100068684a1a", "f" * 30), GOOD.replace("100068684a1a", "f" * 16),
     GOOD + "x\r", GOOD + '"x"\r', '"' + GOOD, '""' + GOOD,
 ]
 

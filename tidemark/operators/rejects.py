@@ -103,7 +103,7 @@ def _number(fmt: Format, name: Column, value: Column) -> Column:
     bare = F.regexp_replace(value, "^0+(?=[0-9])", "")
     for f in fmt.fields:
         if f.checked and f.kind != "text":
-            x = F.conv(value, 16, 10) if f.kind == "hex" else F.when(F.length(bare) <= 20, bare)
+            x = F.when(value.rlike("^[0-9a-fA-F]{1,16}\\z"), F.conv(value, 16, 10)) if f.kind == "hex" else F.when(F.length(bare) <= 20, bare)
             out = F.when(name == f.name, x.try_cast("decimal(20,0)")).otherwise(out)
     return F.when(value != "", out)
 
