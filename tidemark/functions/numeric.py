@@ -63,3 +63,9 @@ def calibrated(battles: Column) -> Column:
 
 def rating_kind(battles: Column) -> Column:
     return F.when(battles.isNull(), "None").when(battles > 5, "MMR").otherwise("NotEnough")
+
+
+def closest_share(base: Column, x: Column) -> Column:
+    """Of a quarter, half and all of ``base`` the one nearest to x; ties go to the smaller share."""
+    options = F.array(*[F.struct(F.abs(v - x).alias("d"), F.lit(i).alias("i"), v.alias("v")) for i, v in enumerate((int_div(base, 4), int_div(base, 2), base))])
+    return F.array_min(options)["v"]

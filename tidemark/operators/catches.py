@@ -74,6 +74,34 @@ def exp_repair(rows: DataFrame, device: str, with_device: tuple[float, float] =
     return rows.select("catch_id", F.col("exp").alias("exp_real"), near(c).alias("exp"), near(c * light).alias("exp_l"), near(c * happy).alias("exp_happy"), near(c * prem).alias("exp_prem"), drink.alias("exp_drink"), near(c + c * light + drink + c * happy + c * prem).alias("exp_sum"))
 
 
+def bonus_rebuild(rows: DataFrame, devices: DataFrame) -> DataFrame:
+    """Bonuses from the base EXP by which of them were seen: light by the device, twice, once, drink as observed."""
+    j = rows.where(F.col("exp").isNotNull()).join(devices, "device")
+    base = F.col("exp").cast("double")
+    seen = lambda c, v: F.when(F.coalesce(F.col(c), F.lit(0)) > 0, v).otherwise(F.lit(0.0))
+    light, happy, prem, drink = seen("exp_l", F.col("light_mul") * base), seen("exp_happy", base * 2.0), seen("exp_prem", base), F.coalesce("exp_drink", F.lit(0))
+    whole = lambda v, n: F.round(v).cast("long").alias(n)
+    return j.select("catch_id", F.col("exp").alias("base"), whole(light, "l_bonus"), whole(happy, "happy_bonus"), whole(prem, "prem_bonus"), drink.alias("drink_bonus"),
+                    whole(base + happy + light + prem + drink, "all_exp"), whole(base * F.col("rig_mul"), "real_exp"))
+
+
+def device_repair(rows: DataFrame, lit: str, plain: str) -> DataFrame:
+    """One-off repair: the device by whether the light bonus was given."""
+    return rows.withColumn("device", F.when(F.coalesce(F.col("exp_l"), F.lit(0)) > 0, lit).otherwise(plain))
+
+
+def device_chain(coded: DataFrame, presets: DataFrame, rigs: DataFrame, muls: DataFrame) -> DataFrame:
+    """Device code -> preset -> rig -> multiplier; small dimensions that the planner broadcasts by their size."""
+    return coded.join(presets, "code").join(rigs, "preset").join(muls, "rig")
+
+
+def best_candidate(rows: DataFrame, keys: list[str], error: str, order: str) -> DataFrame:
+    """The row of each key with the least validation error; rows without one come last, ties go to the first by ``order``."""
+    rest = [c for c in rows.columns if c not in keys]
+    best = F.min_by(F.struct(*rest), F.struct(F.col(error).isNull(), F.coalesce(error, F.lit(0.0)), order))
+    return rows.groupBy(*keys).agg(best.alias("_r")).select(*keys, "_r.*")
+
+
 def point_summary(rows: DataFrame, maps: list[str] | None = None) -> DataFrame:
     """Per (species, point, map, test): average mass, catches, and their share of all attempts there."""
     r = rows if maps is None else rows.where(F.col("map_name").isin(maps))
@@ -149,18 +177,12 @@ def best_entity(texts: DataFrame, key: str, order: str, text: str, config: dict[
             rows.append((None, None, None) if best is None else (best[2], float(best[1]), not best[0]))
         return pd.DataFrame(rows, columns=["entity", "score", "primary"])
 
-    pick = F.pandas_udf("entity string, score double, primary boolean")(_typed(choose))
+    pick = F.pandas_udf(choose, "entity string, score double, primary boolean")
     d = texts.where(F.col(text).isNotNull()).select(key, order, distances(F.col(text)).alias("_d"))
     last = d.groupBy(key).agg(F.max_by("_d", order).alias("_d"))
     return last.select(key, pick("_d").alias("_b")).select(key, "_b.*").where("entity is not null")
 
 
-def _typed(f):
-    def g(d: pd.Series) -> pd.DataFrame:
-        return f(d)
-    return g
-
-
 def file_time(name: Column) -> Column:
     """Milliseconds of yyyyMMdd_HHmmss in a file name, two hours earlier (session time zone UTC)."""
     stamp = F.regexp_extract(name, "(\\d{8}_\\d{6})", 1)

@@ -23,6 +23,11 @@ def format_hms(seconds: Column) -> Column:
     return F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
 
 
+def display_seconds(t: Column, shift: int = 4 * HOUR) -> Column:
+    """Time of day that is shown: the second of the day plus the display's shift, not wrapped."""
+    return F.pmod(t, F.lit(DAY)) + F.lit(shift)
+
+
 def headways(spark: SparkSession, base: int, depths: list[tuple[int, int, int]]) -> DataFrame:
     """(t, h): the headway of every second of the week, the least of base and base div divisor of the intervals over it.
 
