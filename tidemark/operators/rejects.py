@@ -73,21 +73,25 @@ LEADERBOARD_FORMAT = Format(
 )
 
 
-def _reason(fmt: Format, name: Column, value: Column) -> Column:
-    """Why a value is invalid for its column, null where it is valid."""
+def _number(fmt: Format, name: Column, value: Column) -> Column:
+    """The typed value of an int, hex or flag column as DECIMAL(20,0); null for text and for what is empty or no number."""
+    digits = F.when(F.length(F.ltrim(value, F.lit("0"))) <= 20, value).try_cast("decimal(20,0)")
+    hexa = F.when(value.rlike("^[0-9a-fA-F]{1,16}\\z"), F.conv(value, 16, 10)).cast("decimal(20,0)")
+    of = lambda *kinds: name.isin(*[f.name for f in fmt.fields if f.checked and f.kind in kinds])
+    return F.when(of("hex"), hexa).when(of("int", "flag") & value.rlike("^[0-9]+\\z"), digits)
+
+
+def _reason(fmt: Format, name: Column, value: Column, number: Column) -> Column:
+    """Why a value is invalid for its column, null where it is valid; ``number`` is its typed value."""
     out = F.lit(None).cast("string")
-    bare = F.regexp_replace(value, "^0+(?=[0-9])", "")
     for f in fmt.fields:
         if not f.checked:
             continue
         if f.kind == "int":
-            number = F.when(F.length(bare) <= 20, bare).try_cast("decimal(20,0)")
-            rule = (
-                F.when(~value.rlike("^[0-9]+\\z"), F.lit("not a number"))
-                .when(number.isNull() | (number < F.lit(str(f.lo)).cast("decimal(20,0)")) | (number > F.lit(str(f.hi)).cast("decimal(20,0)")), F.lit("out of range"))
-            )
+            inside = number.between(F.lit(str(f.lo)).cast("decimal(20,0)"), F.lit(str(f.hi)).cast("decimal(20,0)"))
+            rule = F.when(~value.rlike("^[0-9]+\\z"), F.lit("not a number")).when(~F.coalesce(inside, F.lit(False)), F.lit("out of range"))
         elif f.kind == "hex":
-            rule = F.when(~value.rlike("^[0-9a-fA-F]{1,16}\\z"), F.lit("not 1 to 16 hexadecimal digits"))
+            rule = F.when(number.isNull(), F.lit("not 1 to 16 hexadecimal digits"))
         elif f.kind == "flag":
             rule = F.when(~value.isin("0", "1"), F.lit("not a flag"))
         else:
@@ -97,17 +101,6 @@ def _reason(fmt: Format, name: Column, value: Column) -> Column:
     return out
 
 
-def _number(fmt: Format, name: Column, value: Column) -> Column:
-    """The typed value of an int, hex or flag column as DECIMAL(20,0); null for text and for what is empty or invalid."""
-    out = F.lit(None).cast("decimal(20,0)")
-    bare = F.regexp_replace(value, "^0+(?=[0-9])", "")
-    for f in fmt.fields:
-        if f.checked and f.kind != "text":
-            x = F.when(value.rlike("^[0-9a-fA-F]{1,16}\\z"), F.conv(value, 16, 10)) if f.kind == "hex" else F.when(F.length(bare) <= 20, bare)
-            out = F.when(name == f.name, x.try_cast("decimal(20,0)")).otherwise(out)
-    return F.when(value != "", out)
-
-
 def _typed(f: Field) -> Column:
     x = F.col(f"t.{f.name}")
     return (x == 1 if f.kind == "flag" else x.cast(f.sql_type)).alias(f.name)
@@ -202,7 +195,8 @@ def split_records(lines: DataFrame, fmt: Format, line: str = "line", key: tuple[
     checked = F.array(*[F.lit(f.name) for f in fmt.fields if f.checked])
     cells = parsed.where(F.col("_kv").isNotNull()).select(*ids, F.explode(F.map_filter("_kv", lambda k, _: F.array_contains(checked, k))).alias("_c", "_x"))
     c, x = F.col("_c"), F.col("_x")
-    dictionary = cut(cells.groupBy("_c", "_x").agg(F.count("*").alias("_n")).select("_c", "_x", "_n", _reason(fmt, c, x).alias("_why"), _number(fmt, c, x).alias("_num")))
+    cast_once = cells.groupBy("_c", "_x").agg(F.count("*").alias("_n")).withColumn("_num", _number(fmt, c, x))
+    dictionary = cut(cast_once.select("_c", "_x", "_n", _reason(fmt, c, x, F.col("_num")).alias("_why"), "_num"))
     often = F.col("_n") > parsed.count() / HOT
 
     def looked_up(part: DataFrame) -> DataFrame:
