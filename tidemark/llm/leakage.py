@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.tokens import spread
 from tidemark.llm.words import BREAK, batch_words, words
 
 ITEM_PAD, DOC_PAD, MIX = -2, -1, np.uint64(0x9E3779B97F4A7C15)
@@ -296,7 +297,7 @@ def find_leaks(documents: DataFrame, doc_key: str, doc_text: str, items: DataFra
     Texts are processed whole, however long.
     """
     spark = documents.sparkSession
-    docs = documents.where(F.col(doc_key).isNotNull() & F.col(doc_text).isNotNull()).select(F.col(doc_key).cast("long").alias("k"), F.col(doc_text).alias("t"))
+    docs = spread(documents.where(F.col(doc_key).isNotNull() & F.col(doc_text).isNotNull()).select(F.col(doc_key).cast("long").alias("k"), F.col(doc_text).alias("t")))
     out = None
     for block in item_blocks(items, item_key, item_text, rules):
         shared = spark.sparkContext.broadcast(Index(block, rules))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.tokens import RANKS, byte_lengths, encode
+from tidemark.llm.tokens import RANKS, byte_lengths, encode, spread
 
 GRADES = ("none", "word", "clause", "sentence", "line", "paragraph")
 FORBIDDEN = -1
@@ -160,7 +160,7 @@ def split_text(text: str, rules: SplitRules) -> list[tuple]:
 
 
 def split_documents(documents: DataFrame, key: str, text: str, rules: SplitRules = SplitRules()) -> DataFrame:
-    """Ordered pieces of every text of more than ``limit`` tokens; one narrow pass, no shuffle.
+    """Ordered pieces of every text of more than ``limit`` tokens; one narrow pass over a large table.
 
     Every piece has at most ``limit`` tokens when taken alone (short of a limit below what one character and its
     overlap need), the pieces' own parts (own_start_char to
@@ -179,4 +179,4 @@ def split_documents(documents: DataFrame, key: str, text: str, rules: SplitRules
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names)
 
-    return documents.where(F.col(text).isNotNull()).select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, SCHEMA)
+    return spread(documents.where(F.col(text).isNotNull()).select(F.col(key).cast("long"), F.col(text))).mapInArrow(run, SCHEMA)

@@ -55,6 +55,15 @@ def encode(text: str, path: str = RANKS) -> list[int]:
     return [t for p in parts(text) for t in e.encode_ordinary(p)]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows in more tasks, where a table has fewer splits than there are cores.
+
+    Texts cost far more to work through than to move, and so few splits are little data; a larger table is left as it
+    is read and not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+
+
 def with_tokens(df: DataFrame, text: str, name: str = "tokens", path: str = RANKS, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` and the token count of the whole text (0 for null or empty); the text stays behind."""
     keep = keep or []
@@ -66,4 +75,4 @@ def with_tokens(df: DataFrame, text: str, name: str = "tokens", path: str = RANK
             n = pa.array([len(encode(t, path)) if t else 0 for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], n], [*keep, name])
 
-    return df.select(*keep, F.col(text)).mapInArrow(run, schema)
+    return spread(df.select(*keep, F.col(text))).mapInArrow(run, schema)
