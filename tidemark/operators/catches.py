@@ -162,24 +162,27 @@ def best_entity(texts: DataFrame, key: str, order: str, text: str, config: dict[
     def distances(s: pd.Series) -> pd.Series:
         return s.map(lambda t: window_distances(t.lower(), tags).tolist() if t else [-1] * len(tags))
 
+    place = {t: i for i, t in enumerate(tags)}
+    size = np.array([max(1, len(t)) for t in tags])
+
     def choose(d: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x in d:
-            best = None
-            dist = dict(zip(tags, x))
-            for name, (own, primary) in sorted(config.items()):
-                far = [dist[t] < 0 or dist[t] / len(t) > fits for t in primary]
-                if any(far):
-                    continue
-                total = sum(1e18 if dist[t] < 0 else dist[t] for t in own)
-                cand = (not primary, total / max(1, len(name.replace(" ", ""))), name)
-                best = cand if best is None or cand < best else best
-            rows.append((None, None, None) if best is None else (best[2], float(best[1]), not best[0]))
-        return pd.DataFrame(rows, columns=["entity", "score", "primary"])
+        dist = np.stack(d.to_list()) if len(d) else np.zeros((0, len(tags)))
+        missing = dist < 0
+        far = missing | (dist / size > fits)
+        cost = np.where(missing, 1e18, dist)
+        n = len(d)
+        entity, score, loose = np.full(n, None, object), np.full(n, np.inf), np.full(n, 2)
+        for name, (own, primary) in sorted(config.items()):
+            at, kind = [place[t] for t in own], 0 if primary else 1
+            mine = cost[:, at].sum(1) / max(1, len(name.replace(" ", "")))
+            better = ~far[:, [place[t] for t in primary]].any(1) & ((kind < loose) | ((kind == loose) & (mine < score)))
+            entity[better], score[better], loose[better] = name, mine[better], kind
+        known = loose < 2
+        return pd.DataFrame({"entity": entity, "score": np.where(known, score, np.nan), "primary": pd.array(np.where(known, loose == 0, None), "boolean")})
 
     pick = F.pandas_udf(choose, "entity string, score double, primary boolean")
     d = texts.where(F.col(text).isNotNull()).select(key, order, distances(F.col(text)).alias("_d"))
-    last = d.groupBy(key).agg(F.max_by("_d", order).alias("_d"))
+    last = d.groupBy(key).agg(F.max_by("_d", F.struct(order)).alias("_d"))
     return last.select(key, pick("_d").alias("_b")).select(key, "_b.*").where("entity is not null")
 
 

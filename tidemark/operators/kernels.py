@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from dataclasses import dataclass, field
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,12 +49,52 @@ def resize_nearest(m: Column, width: int, height: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda i: cols(pick(m, i, height)))
 
 
-def _stack(s: pd.Series) -> list[np.ndarray]:
-    return [np.array([np.asarray(r, float) for r in m]) for m in s]
+def _batches(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, stack of equally sized matrices) of a column of matrices; nulls and ragged ones are left out.
+
+    The values are read as one flat buffer; no list is built per row."""
+    outer = column.offsets.to_numpy().astype(np.int64)
+    rows = column.values
+    inner = rows.offsets.to_numpy().astype(np.int64) if len(rows) else np.zeros(1, np.int64)
+    flat = rows.values.to_numpy(zero_copy_only=False) if len(rows) else np.zeros(0)
+    height = np.diff(outer)
+    first = inner[np.minimum(outer[:-1], len(inner) - 1)]
+    last = inner[np.minimum(outer[1:], len(inner) - 1)]
+    width = np.where(height > 0, (last - first) // np.maximum(height, 1), 0)
+    wide = np.diff(inner)
+    good = np.array([h > 0 and v and (wide[i : i + h] == w).all() for i, h, w, v in zip(outer[:-1], height, width, column.is_valid().to_numpy(zero_copy_only=False))], bool)
+    out = []
+    for h, w in {(int(h), int(w)) for h, w in zip(height[good], width[good])}:
+        at = np.flatnonzero(good & (height == h) & (width == w))
+        out.append((at, flat[first[at][:, None] + np.arange(h * w)].astype(float).reshape(len(at), h, w)))
+    return out
+
 
+def _matrices(parts: list[tuple[np.ndarray, np.ndarray]], n: int) -> pa.Array:
+    """A column of n matrices from stacks with their row numbers; rows without one are null."""
+    height, width, flat = np.zeros(n, np.int64), np.zeros(n, np.int64), [None] * len(parts)
+    order = np.empty((n, 2), np.int64)
+    known = np.zeros(n, bool)
+    for k, (at, m) in enumerate(parts):
+        height[at], width[at], known[at] = m.shape[1], m.shape[2], True
+        order[at, 0], order[at, 1] = k, np.arange(len(at))
+        flat[k] = m
+    if len(parts) == 1 and known.all():
+        values = flat[0][order[:, 1]].reshape(-1)
+    else:
+        values = np.concatenate([flat[k][j].reshape(-1) for (k, j), ok in zip(order, known) if ok] or [np.zeros(0)])
+    inner = np.r_[0, np.cumsum(np.repeat(width, height))].astype(np.int32)
+    outer = pa.array(np.r_[0, np.cumsum(height)].astype(np.int32), mask=np.r_[~known, False])
+    return pa.ListArray.from_arrays(outer, pa.ListArray.from_arrays(pa.array(inner), pa.array(values, pa.float64())))
+
+
+def on_matrices(m: Column, f) -> Column:
+    """Applies ``f`` (stack of matrices -> stack of matrices) to a column of matrices, batch by batch."""
+    @F.arrow_udf("array<array<double>>")
+    def run(c: pa.Array) -> pa.Array:
+        return _matrices([(at, f(x)) for at, x in _batches(c)], len(c))
 
-def _lists(a: np.ndarray) -> list:
-    return a.tolist()
+    return run(m)
 
 
 def correlate(channels: np.ndarray, kernel: np.ndarray, stride: tuple[int, int] = (1, 1)) -> np.ndarray:
@@ -68,29 +111,25 @@ def fft_convolve(channels: np.ndarray, kernel: np.ndarray, stride: tuple[int, in
 
 
 def kernel_gradient(channel: np.ndarray, grad: np.ndarray, size: tuple[int, int], stride: tuple[int, int] = (1, 1), pad: tuple[int, int] = (0, 0)) -> np.ndarray:
-    """Sum of grad[h, w] * input over the places each kernel cell saw."""
-    out = np.zeros(size)
-    for m in range(size[0]):
-        for n in range(size[1]):
-            for h in range(grad.shape[0]):
-                for w in range(grad.shape[1]):
-                    i, j = h * stride[0] + m - pad[0], w * stride[1] + n - pad[1]
-                    if 0 <= i < channel.shape[0] and 0 <= j < channel.shape[1]:
-                        out[m, n] += grad[h, w] * channel[i, j]
-    return out
+    """Sum of grad[h, w] * input over the places each kernel cell saw: a correlation with the spread gradient as kernel."""
+    reach = [(g - 1) * s + 1 for g, s in zip(grad.shape, stride)]
+    wide = np.pad(channel, [(p, max(0, k + r - 1 - n - p)) for p, k, r, n in zip(pad, size, reach, channel.shape)])
+    win = np.lib.stride_tricks.sliding_window_view(wide, reach)[: size[0], : size[1], :: stride[0], :: stride[1]]
+    return np.einsum("mnhw,hw->mn", win, grad)
 
 
 def convolve(m: Column, kernel: np.ndarray, method: str = "valid", stride: tuple[int, int] = (1, 1), pad: int = 0) -> Column:
     """Single-channel convolution of a matrix column: 'valid' (correlation, edge-padded by ``pad``) or 'fft'."""
-    @F.pandas_udf("array<array<double>>")
-    def run(s: pd.Series) -> pd.Series:
-        out = []
-        for a in _stack(s):
-            a = np.pad(a, pad, "edge") if pad else a
-            out.append(_lists((correlate if method == "valid" else fft_convolve)(a[None], kernel[None], stride)))
-        return pd.Series(out)
+    def run(x: np.ndarray) -> np.ndarray:
+        x = np.pad(x, ((0, 0), (pad, pad), (pad, pad)), "edge") if pad else x
+        if method == "valid":
+            win = np.lib.stride_tricks.sliding_window_view(x, kernel.shape, (1, 2))[:, :: stride[0], :: stride[1]]
+            return np.einsum("nhwkl,kl->nhw", win, kernel)
+        size = [a + b - 1 for a, b in zip(x.shape[1:], kernel.shape)]
+        full = np.fft.irfft2(np.fft.rfft2(x, size) * np.fft.rfft2(kernel, size), size)
+        return full[:, : x.shape[1] : stride[0], : x.shape[2] : stride[1]]
 
-    return run(m)
+    return on_matrices(m, run)
 
 
 @dataclass
@@ -123,6 +162,19 @@ class ConvLayer:
         x = np.pad(x, ((0, 0), (self.pad, self.pad), (self.pad, self.pad)), "edge")
         return np.stack([correlate(x, k, self.stride) for k in self.weights])
 
+    def save(self, path: str) -> None:
+        """Settings and weights as readable JSON."""
+        names = ("channels", "features", "kernel", "stride", "pad", "method", "seed")
+        Path(path).write_text(json.dumps({n: getattr(self, n) for n in names} | {"weights": self.weights.tolist()}, indent=1))
+
+    @classmethod
+    def read(cls, path: str) -> ConvLayer:
+        c = json.loads(Path(path).read_text())
+        weights = np.array(c.pop("weights"))
+        layer = cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in c.items()})
+        layer.weights = weights
+        return layer
+
     def gradients(self, x: np.ndarray, grad: np.ndarray) -> np.ndarray:
         return np.stack([np.stack([kernel_gradient(c, g, self.kernel, self.stride, (self.pad, self.pad)) for c in x]) for g in grad])
 
@@ -192,7 +244,7 @@ PNG_CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 
 
 def png_decode(data: bytes) -> np.ndarray:
-    """(h, w, c) bytes of a non-interlaced 1 to 16 bit PNG; palettes are resolved, 16 bit keeps the high byte."""
+    """(h, w, c) bytes of a 1 to 16 bit PNG, interlaced or not; palettes are resolved, 16 bit keeps the high byte."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("not a PNG")
     at, idat, palette, head = 8, b"", None, None
@@ -207,38 +259,74 @@ def png_decode(data: bytes) -> np.ndarray:
             idat += body
         at += 12 + n
     w, h, depth, color, _, _, interlace = head
-    if interlace:
-        raise ValueError("interlaced PNG")
     c = PNG_CHANNELS[color]
+    data = np.frombuffer(zlib.decompress(idat), np.uint8)
+    if interlace:
+        img, at = np.zeros((h, w, c), np.uint8), 0
+        for y0, x0, dy, dx in ADAM7:
+            ph, pw = len(range(y0, h, dy)), len(range(x0, w, dx))
+            if ph and pw:
+                n = ph * ((pw * c * depth + 7) // 8 + 1)
+                img[y0::dy, x0::dx] = _png_pixels(data[at : at + n], pw, ph, c, depth, color)
+                at += n
+    else:
+        img = _png_pixels(data, w, h, c, depth, color)
+    return palette[img[..., 0]] if color == 3 else img
+
+
+#: Fixed values of the interlaced format: first row, first column, row step, column step of each pass.
+ADAM7 = ((0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2), (0, 1, 2, 2), (1, 0, 2, 1))
+
+
+def _unfilter(raw: np.ndarray, filters: np.ndarray, bpp: int) -> np.ndarray:
+    """Undoes the row filters. A pixel needs its left, upper and upper left neighbours, so all pixels of one antidiagonal
+    are done at once."""
+    h, n = raw.shape
+    w = n // bpp
+    out = np.zeros((h + 1, w + 1, bpp), np.int32)
+    src, kinds = raw.reshape(h, w, bpp).astype(np.int32), filters[:, None]
+    for d in range(h + w - 1):
+        y = np.arange(max(0, d - w + 1), min(h, d + 1))
+        x = d - y
+        a, b, c, k = out[y + 1, x], out[y, x + 1], out[y, x], kinds[y]
+        e = a + b - c
+        far = [np.abs(e - v) for v in (a, b, c)]
+        paeth = np.where((far[0] <= far[1]) & (far[0] <= far[2]), a, np.where(far[1] <= far[2], b, c))
+        guess = np.select([k == 1, k == 2, k == 3, k == 4], [a, b, (a + b) // 2, paeth], 0)
+        out[y + 1, x + 1] = (src[y, x] + guess) & 255
+    return out[1:, 1:].reshape(h, n).astype(np.uint8)
+
+
+def _png_pixels(data: np.ndarray, w: int, h: int, c: int, depth: int, color: int) -> np.ndarray:
     row_bytes, bpp = (w * c * depth + 7) // 8, max(1, c * depth // 8)
-    raw = np.frombuffer(zlib.decompress(idat), np.uint8).reshape(h, row_bytes + 1)
-    out = np.zeros((h, row_bytes), np.uint8)
-    up = np.zeros(row_bytes, np.int32)
-    for y in range(h):
-        f, line = raw[y, 0], raw[y, 1:].astype(np.int32)
-        if f == 2:
-            line = (line + up) & 255
-        elif f:
-            for x in range(row_bytes):
-                a = line[x - bpp] if x >= bpp else 0
-                b, d = up[x], up[x - bpp] if x >= bpp else 0
-                if f == 1:
-                    p = a
-                elif f == 3:
-                    p = (a + b) // 2
-                else:
-                    e = a + b - d
-                    p = min((abs(e - a), 0, a), (abs(e - b), 1, b), (abs(e - d), 2, d))[2]
-                line[x] = (line[x] + p) & 255
-        out[y], up = line, line
+    rows = data[: h * (row_bytes + 1)].reshape(h, row_bytes + 1)
+    out = rows[:, 1:] if not rows[:, 0].any() else _unfilter(rows[:, 1:], rows[:, 0], bpp)
     if depth < 8:
         bits = np.unpackbits(out, axis=1).reshape(h, -1, depth)
         v = (bits * (1 << np.arange(depth)[::-1])).sum(2)[:, : w * c]
         out = (v if color == 3 else v * 255 // ((1 << depth) - 1)).astype(np.uint8)
     elif depth == 16:
         out = out[:, ::2]
-    img = out.reshape(h, w, c)
-    return palette[img[..., 0]] if color == 3 else img
+    return out.reshape(h, w, c)
+
+
+def png_meta(data: bytes) -> dict:
+    """Size, depth, colour type, interlacing and, where they are given, gamma, chromaticities and pixels per metre."""
+    meta, at = {}, 8
+    while at < len(data):
+        n, kind = struct.unpack(">I4s", data[at : at + 8])
+        body = data[at + 8 : at + 8 + n]
+        if kind == b"IHDR":
+            meta |= dict(zip(("width", "height", "depth", "color", "compression", "filter", "interlace"), struct.unpack(">IIBBBBB", body)))
+        elif kind == b"gAMA":
+            meta["gamma"] = struct.unpack(">I", body)[0] / 100_000
+        elif kind == b"cHRM":
+            meta["chroma"] = tuple(v / 100_000 for v in struct.unpack(">8I", body))
+        elif kind == b"pHYs":
+            x, y, unit = struct.unpack(">IIB", body)
+            meta["pixels_per_metre"] = (x, y) if unit == 1 else None
+        at += 12 + n
+    return meta
 
 
 def png_encode(img: np.ndarray) -> bytes:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.operators import kernels as K
@@ -71,8 +70,9 @@ def conv_fft(s, d):
 
 @query()
 def matrix_lanczos(s, d):
-    @F.pandas_udf("array<array<double>>")
-    def up(x: pd.Series) -> pd.Series:
-        return x.map(lambda m: K.resize_lanczos((np.clip(np.array([list(r) for r in m]), -1, 1) * 127 + 128).astype(np.uint8)[..., None], 16, 16)[..., 0].astype(float).tolist())
+    def up(x: np.ndarray) -> np.ndarray:
+        """A stack of grey images resampled as the channels of one."""
+        grey = (np.clip(x, -1, 1) * 127 + 128).astype(np.uint8)
+        return K.resize_lanczos(grey.transpose(1, 2, 0), 16, 16).astype(float).transpose(2, 0, 1)
 
-    return _cells(_m(s, d), up("m"))
+    return _cells(_m(s, d), K.on_matrices(F.col("m"), up))

@@ -111,11 +111,11 @@ def device_asof(s, d):
     return asof.last_before(e.where(~known).select("event_id", "t"), "t", e.where(known).select("t", code.alias("code")), "t", "code", F.lit("1"))
 
 
-@query("""with n as (select item_id, list_filter(list_transform(regexp_extract_all(text, '[-+]?\\d*\\.?\\d+'), lambda x: case when regexp_full_match(x, '\\+?[0-9]+') then try_cast(x as bigint) end), lambda x: x is not null) v from eval_items)
-select item_id, len(v) n, coalesce(list_sum(v), 0)::bigint total from n""")
+@query("""with n as (select doc_id, list_filter(list_transform(regexp_extract_all(text, '[-+]?[0-9]*\\.?[0-9]+'), lambda x: case when regexp_full_match(x, '\\+?[0-9]+') then try_cast(x as bigint) end), lambda x: x is not null) v from documents where text is not null)
+select doc_id, len(v) n, coalesce(list_sum(list_transform(v, lambda x: x::hugeint)), 0)::decimal(38,0) total from n""")
 def number_extract(s, d):
-    v = C.numbers(F.col("text"))
-    return table(s, d, "eval_items").select("item_id", v.alias("v")).select("item_id", F.size("v").cast("long").alias("n"), F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    t = table(s, d, "documents").where(F.col("text").isNotNull()).select("doc_id", C.numbers(F.col("text")).alias("v"))
+    return t.select("doc_id", F.size("v").cast("long").alias("n"), F.aggregate("v", F.lit(0).cast("decimal(38,0)"), lambda a, x: (a + x.cast("decimal(20,0)")).cast("decimal(38,0)")).alias("total"))
 
 
 @query("""with l as (select doc_id, unnest(string_split(text, chr(10))) t, generate_subscripts(string_split(text, chr(10)), 1) - 1 line from documents where text is not null),
@@ -141,9 +141,9 @@ def species_config(s, d) -> dict:
 
 @query()
 def fuzzy_best(s, d):
-    """Best species of every evaluation text (rows only: edit distance over windows)."""
-    t = table(s, d, "eval_items").select("item_id", F.lit(0).alias("n"), "text")
-    return C.best_entity(t, "item_id", "n", "text", species_config(s, d))
+    """Best species of every document (rows only: edit distance over all windows of the whole text)."""
+    t = table(s, d, "documents").select("doc_id", F.lit(0).alias("n"), "text")
+    return C.best_entity(t, "doc_id", "n", "text", species_config(s, d))
 
 
 KV = """with p as (select {k} id, list_filter(list_transform(string_split(regexp_replace({c}, '[{{}}"]', '', 'g'), ','), lambda e: string_split(e, ':')), lambda q: len(q) = 2) v from {t}),

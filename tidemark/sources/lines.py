@@ -92,6 +92,17 @@ def bucket_json(spark: SparkSession, text: str) -> DataFrame:
     return one.select(F.explode("m").alias("k", "v")).select(F.col("k").cast("bigint").alias("key"), F.col("v")[0].alias("total"), F.col("v")[1].alias("n"))
 
 
+def read_regression(path: str) -> list[float]:
+    """Coefficients of a JSON array of numbers."""
+    return [float(x) for x in json.loads(Path(path).read_text())]
+
+
+def key_events(lines: DataFrame, keys: list[str], line: str = "value") -> DataFrame:
+    """(timestamp, key) of ``timestamp;key`` lines whose key is on the whitelist; works on streams as well."""
+    p = F.split(F.col(line), ";")
+    return lines.select(F.get(p, F.lit(0)).try_cast("bigint").alias("timestamp"), F.get(p, F.lit(1)).alias("key")).where(F.col("timestamp").isNotNull() & F.col("key").isin(*keys))
+
+
 def parse_hms(text: str) -> int:
     """Seconds of H:M:S with unbounded hours; minutes and seconds below 60."""
     m = re.fullmatch(r"(\d+):(\d+):(\d+)", text)

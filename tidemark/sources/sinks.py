@@ -71,3 +71,30 @@ def plot_rows(members: DataFrame, cluster: str, n: int = 10, seed: int = 0) -> D
 
 def write_config(config: dict, path: str) -> None:
     Path(path).write_text(json.dumps(config, indent=2, ensure_ascii=False))
+
+
+def to_ron(v) -> str:
+    """RON text of dicts (named structs), tuples (name, args) as enums, lists, texts, numbers and booleans; ``parse_ron`` reads it."""
+    if isinstance(v, bool):
+        return str(v).lower()
+    if isinstance(v, dict):
+        return "(" + ", ".join(f"{k}: {to_ron(x)}" for k, x in v.items()) + ")"
+    if isinstance(v, tuple):
+        return f"{v[0]}({', '.join(to_ron(x) for x in v[1])})"
+    if isinstance(v, list):
+        return "[" + ", ".join(to_ron(x) for x in v) + "]"
+    return json.dumps(v, ensure_ascii=False) if isinstance(v, str) else repr(v)
+
+
+def write_duties(duties: DataFrame, path: str) -> None:
+    """Duties of a roster as RON text, one line per duty, one folder per day."""
+    part = lambda n, c: F.concat(F.lit(f"{n}: "), c)
+    quoted = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
+    line = F.concat(F.lit("("), F.concat_ws(", ", part("depot", quoted("depot")), part("train", F.col("train").cast("string")), part("seq", F.col("seq").cast("string")), part("kind", quoted("kind")), part("shift", F.coalesce(F.col("shift_id").cast("string"), F.lit("-1")))), F.lit(")"))
+    duties.select("day", line.alias("value")).repartition("day").sortWithinPartitions("day", "value").write.mode("overwrite").partitionBy("day").text(path)
+
+
+def result_rows(df: DataFrame, columns: str) -> DataFrame:
+    """A table in the columns of a DDL schema: missing ones null, others left out (the 20-column result format)."""
+    names = [c.strip().split() for c in columns.split(",")]
+    return df.select(*[(F.col(n) if n in df.columns else F.lit(None)).cast(t).alias(n) for n, t in names])

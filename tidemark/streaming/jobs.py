@@ -50,6 +50,45 @@ def last_known(samples: DataFrame) -> DataFrame:
     return samples.groupBy("pid").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+OPEN = "session_id long, first long, last long, seats long, score long"
+CLOSED = "feed string, session_id long, first long, last long, seats long, score long"
+
+
+def closed_on_change(rows: DataFrame, feed: str = "feed", order: str = "row_id") -> DataFrame:
+    """(feed, session_id, first, last, seats, score) of a session as soon as the feed's next row names another one.
+
+    A feed is one ordered stream, so its rows are one group by nature; several feeds run side by side. State is the
+    open session alone, which the next run resumes; a session that comes back later counts as a new one."""
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, out = (list(state.get) if state.exists else None), []
+        for r in pd.concat(list(batches)).sort_values(order).itertuples():
+            at, score = int(getattr(r, order)), 0 if pd.isna(r.battle_score) else int(r.battle_score)
+            if now and now[0] != r.session_id:
+                out.append((key[0], *now))
+                now = None
+            now = [int(r.session_id), at, at, 1, score] if now is None else [now[0], now[1], at, now[3] + 1, now[4] + score]
+        if now:
+            state.update(tuple(now))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in CLOSED.split(", ")])
+
+    known = rows.where(F.col("session_id").isNotNull() & F.col(order).isNotNull())
+    return known.groupBy(feed).applyInPandasWithState(step, CLOSED, OPEN, "append", GroupStateTimeout.NoTimeout)
+
+
+def monitor_csv(samples: DataFrame, path: str, checkpoint: str, interval: str | None = None):
+    """Appends every micro-batch of samples as ';'-separated rows and its totals beside them; returns the query.
+
+    interval: how often to sample, as '1 second'; without one what is available is processed and the query ends."""
+    from tidemark.operators.monitor import process_totals
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("append").option("sep", ";").csv(f"{path}/samples")
+        process_totals(batch).withColumn("batch", F.lit(n)).write.mode("append").option("sep", ";").csv(f"{path}/totals")
+
+    w = samples.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    return (w.trigger(processingTime=interval) if interval else w.trigger(availableNow=True)).start()
+
+
 def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Processes what is available and stops; the checkpoint carries offsets and state to the next run."""
     df.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
