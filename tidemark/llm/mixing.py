@@ -76,7 +76,7 @@ def mix(sized: DataFrame, targets: DataFrame, rules: MixRules = MixRules()) -> t
 
     mixture: doc_id, source, copy (1 for the first use), tokens, position (1.. in training order). A pass
     over a source takes its documents in an order drawn per pass; the last pass ends where the demand does,
-    to half a document. shares: per target source the wanted and reached share, tokens, documents, copies
+    to half a document. shares: per target source the wanted and reached share, the tokens asked for and taken, documents, copies
     and the repeats used. Sources without a target are left out; targets without documents reach 0; a
     repeated doc_id is two documents; ties are ordered by key and copy. Extra columns are ignored.
     """
@@ -103,7 +103,7 @@ def mix(sized: DataFrame, targets: DataFrame, rules: MixRules = MixRules()) -> t
     used = mixture.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("copies"), F.max("copy").alias("most_repeats"))
     whole = mixture.agg(F.sum("tokens")).scalar()
     shares = table.join(used, "source", "left").select(
-        "source", F.col("share").alias("target_share"), F.col("repeats").alias("max_repeats"), F.col("have").alias("available_tokens"),
+        "source", F.col("share").alias("target_share"), F.col("repeats").alias("max_repeats"), F.col("have").alias("available_tokens"), F.col("want").alias("asked_tokens"),
         F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"),
         F.coalesce(F.col("tokens") / whole, F.lit(0.0)).alias("share"),
     )
