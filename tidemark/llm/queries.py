@@ -85,8 +85,8 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
 def p8_within(spark: SparkSession, sf: str) -> DataFrame:
     """Whether every target source keeps its cap and takes the tokens that its share of the budget asks for, to half a document."""
     sized = mixing.sizes(table(spark, sf, "documents"), "doc_id", "text", "source")
-    mixture, shares = mixing.mix(sized, table(spark, sf, "mix_targets"))
-    longest = mixture.groupBy("source").agg(F.max("tokens").alias("longest"))
+    shares = mixing.mix(sized, table(spark, sf, "mix_targets"))[1]
+    longest = sized.groupBy("source").agg(F.max("tokens").alias("longest"))
     off = F.abs(F.col("tokens") - F.col("asked_tokens"))
     return shares.join(longest, "source", "left").select(
         "source", (F.col("most_repeats") <= F.col("max_repeats")).alias("in_cap"), (off <= F.coalesce("longest", F.lit(0)) / 2 + 1e-6).alias("on_share"))
