@@ -6,6 +6,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+SPAN = 4096
+
+
+def before_max(chunks: DataFrame, chunk: str, value: str, out: str) -> DataFrame:
+    """Adds ``out``: the largest ``value`` of all earlier chunks. chunks has one row per (integer) chunk.
+
+    Two levels: inside spans of chunks, and over one row per span, which alone stand in one order."""
+    c = chunks.withColumn("_s", F.floor(F.col(chunk) / SPAN))
+    earlier = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    spans = c.groupBy("_s").agg(F.max(value).alias("_m")).select("_s", F.max("_m").over(earlier).alias("_far"))
+    near = F.max(value).over(Window.partitionBy("_s").orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1))
+    return c.withColumn("_near", near).join(spans, "_s").withColumn(out, F.greatest("_near", "_far")).drop("_s", "_near", "_far")
+
+
+def before_last(chunks: DataFrame, chunk: str, value: str, out: str) -> DataFrame:
+    """Adds ``out``: the ``value`` of the chunk before, in the same two levels; values are not null."""
+    c = chunks.withColumn("_s", F.floor(F.col(chunk) / SPAN))
+    spans = c.groupBy("_s").agg(F.max_by(value, chunk).alias("_m")).select("_s", F.lag("_m").over(Window.orderBy("_s")).alias("_far"))
+    near = F.lag(value).over(Window.partitionBy("_s").orderBy(chunk))
+    return c.withColumn("_near", near).join(spans, "_s").withColumn(out, F.coalesce("_near", "_far")).drop("_s", "_near", "_far")
+
+
 def last_before(probes: DataFrame, probe_at: str, events: DataFrame, event_at: str, value: str, default: Column, chunk: int = 3_600_000) -> DataFrame:
     """Probes with ``value`` of the last event strictly before their time (ties: the larger value), else default.
 
@@ -16,7 +38,7 @@ def last_before(probes: DataFrame, probe_at: str, events: DataFrame, event_at: s
     p = probes.withColumn("c", F.floor(F.col(probe_at) / chunk))
     ends = e.groupBy("c").agg(F.max(F.struct("t", "v")).alias("m"))
     chunks = p.select("c").distinct().withColumn("m", F.lit(None).cast(ends.schema["m"].dataType)).unionByName(ends).groupBy("c").agg(F.max("m").alias("m"))
-    carry = chunks.select("c", F.max("m").over(Window.orderBy("c").rowsBetween(Window.unboundedPreceding, -1)).alias("carry"))
+    carry = before_max(chunks, "c", "m", "carry").select("c", "carry")
     both = p.select(F.struct(*p.columns).alias("p"), F.col(probe_at).alias("t"), "c", F.lit(0).alias("o"), F.lit(None).cast(ends.schema["m"].dataType).alias("e")).unionByName(
         e.select(F.lit(None).cast(p.select(F.struct(*p.columns)).schema[0].dataType).alias("p"), "t", "c", F.lit(1).alias("o"), F.struct("t", "v").alias("e")))
     inside = Window.partitionBy("c").orderBy("t", "o").rowsBetween(Window.unboundedPreceding, 0)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import numeric as num
+from tidemark.operators.asof import before_last, before_max
+from tidemark.session import cut
 
 SIDES = ("faction_1", "faction_2")
 GAP = 800
@@ -200,16 +202,31 @@ def delta_v1(won: Column, score: Column, opp: Column, mmr: Column, known: Column
     return F.when(won, F.greatest(num.sat_int(base + mul * 35.0), F.lit(0))).otherwise(num.sat_int(base - mul * 35.0))
 
 
+def side_results(rated: DataFrame) -> DataFrame:
+    """Rated seats with their session's results (won1, won2) and the other side's attenuated mean rating (opp).
+
+    Both come from one aggregate row per side, of which a session has two."""
+    top = F.max(F.when(F.col("mmr_type") == "MMR", F.col("mmr"))).over(Window.partitionBy("session_id", "faction"))
+    x = rated.withColumn("_top", top)
+    v = F.when(F.col("mmr_type") == "MMR", F.col("mmr") * num.low_place_weight(F.col("mmr"), F.col("_top")))
+    x = x.withColumn("_v", v).withColumn("_m", F.max("_v").over(Window.partitionBy("session_id", "faction")))
+    part = F.when(F.col("_v").isNotNull(), F.when(F.col("_m") < 1e-7, F.lit(1.0)).otherwise(F.try_divide(F.col("_top").cast("double"), F.col("_m")) * F.col("_v")))
+    side = x.groupBy("session_id", "faction").agg(F.when(F.count(part) > 2, num.sat_int(F.sum(part) / F.count(part), 0, num.UINT_MAX)).alias("opp"), F.bool_or("won").alias("won"))
+    of = lambda c, f: F.max(F.when(F.col("faction") == f, F.col(c)))
+    return side.groupBy("session_id").agg(*[of("opp", f).alias(f"opp{i}") for i, f in enumerate(SIDES, 1)], *[F.coalesce(of("won", f), F.lit(False)).alias(f"won{i}") for i, f in enumerate(SIDES, 1)])
+
+
 def v1_snapshot(seats: DataFrame, board: DataFrame, modes: DataFrame) -> DataFrame:
-    """Changes of variant 1 of every rated session against one fixed leaderboard."""
-    rated = rated_seats(seats, board)
-    opp = opponent_mean(rated).select("session_id", F.when(F.col("faction") == SIDES[0], SIDES[1]).otherwise(SIDES[0]).alias("faction"), "opp")
-    res = top3(rated).select("session_id", "won1", "won2")
-    g = gate(seats, modes).select("session_id", "n1", "n2", "total_score")
-    x = rated.join(g, "session_id").join(res, "session_id").join(opp, ["session_id", "faction"], "left")
+    """Changes of variant 1 of every rated session against one fixed leaderboard.
+
+    The rated seats feed the sides' aggregates and the changes, so they are cut once."""
+    rated = cut(rated_seats(seats, board))
+    g = gate(seats, modes).select("session_id", "n1", "n2", "total_score").join(side_results(rated), "session_id")
+    x = rated.join(g, "session_id")
+    first = F.col("faction") == SIDES[0]
+    x = x.withColumn("opp", F.when(first, F.col("opp2")).otherwise(F.col("opp1")))
     x = x.withColumn("score_norm", num.sat_int(F.try_divide(1600.0 * (F.col("n1") + F.col("n2")), F.col("total_score").cast("double")) * F.col("score"), 0, num.UINT_MAX))
-    x = x.withColumn("side_won", F.when(F.col("faction") == SIDES[0], F.col("won1")).otherwise(F.col("won2")))
-    delta = delta_v1(F.col("side_won"), F.col("score_norm"), F.col("opp"), F.col("mmr"), F.col("mmr_type") == "MMR", F.col("quit"), F.col("top20"))
+    delta = delta_v1(F.when(first, F.col("won1")).otherwise(F.col("won2")), F.col("score_norm"), F.col("opp"), F.col("mmr"), F.col("mmr_type") == "MMR", F.col("quit"), F.col("top20"))
     return x.select("session_id", "user_id", "faction", "mmr", "mmr_type", "score_norm", "opp", delta.alias("delta"))
 
 
@@ -263,10 +280,10 @@ def session_islands(rows: DataFrame, order: str, value: str, chunk: int = 65_536
     Runs are found inside chunks of the key; one summary row per chunk carries what crosses the borders."""
     r = rows.where(F.col(order).isNotNull()).select(F.col(order).alias("o"), F.col(value).alias("v"), num.int_div(F.col(order), chunk).alias("c"))
     inside = Window.partitionBy("c").orderBy("o")
-    ends = r.groupBy("c").agg(F.max_by(F.struct("v"), "o").alias("e")).select("c", F.lag("e").over(Window.orderBy("c")).alias("e"))
+    ends = before_last(r.groupBy("c").agg(F.max_by(F.struct("v"), "o").alias("last")), "c", "last", "e").select("c", "e")
     r = r.withColumn("p", F.lag(F.struct("v")).over(inside)).withColumn("n", F.row_number().over(inside)).join(ends, "c")
     before = F.when(F.col("n") == 1, F.col("e")).otherwise(F.col("p"))
     r = r.withColumn("s", F.when(before.isNull() | ~before["v"].eqNullSafe(F.col("v")), F.col("o")))
-    carry = r.groupBy("c").agg(F.max("s").alias("m")).select("c", F.max("m").over(Window.orderBy("c").rowsBetween(Window.unboundedPreceding, -1)).alias("carry"))
+    carry = before_max(r.groupBy("c").agg(F.max("s").alias("m")), "c", "m", "carry").select("c", "carry")
     r = r.withColumn("s", F.max("s").over(inside.rowsBetween(Window.unboundedPreceding, 0))).join(carry, "c")
     return r.groupBy(F.coalesce("s", "carry").alias("first")).agg(F.max("o").alias("last"), F.any_value("v").alias("value"), F.count("*").alias("rows"))
