@@ -63,6 +63,37 @@ def test_v2_exact_equals_snapshot_for_one_session(spark, sf):
     assert a == b and a
 
 
+def test_components(spark):
+    rng = random.Random(7)
+    edges = [(s, rng.randrange(60)) for s in range(40) for _ in range(2)] + [(100 + i, 1000 + i + d) for i in range(50) for d in (0, 1)]  # and a long chain
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for s, u in edges:
+        parent[root(("s", s))] = root(("u", u))
+    got = {r.session_id: r.component for r in exact.components(spark.createDataFrame(edges, "session_id long, user_id long"), "session_id", "user_id").collect()}
+    least = {}
+    for s, u in edges:
+        r = root(("u", u))
+        least[r] = min(least.get(r, u), u)
+    assert got == {s: least[root(("s", s))] for s, _ in edges}
+    assert exact.components(spark.createDataFrame([], "session_id long, user_id long"), "session_id", "user_id").count() == 0
+
+
+def test_v2_by_components_equals_one_fold(spark, sf):
+    from tidemark.plans import ratings as q
+
+    seats, board, modes = q._seats(spark, sf), q._board(spark, sf), q._modes(spark, sf)
+    got = exact.rate_exact(seats, board, modes, "v2").toPandas().sort_values(["session_id", "user_id"]).reset_index(drop=True)
+    state = {r.user_id: [r.mmr, r.battles, r.battle_score] for r in board.collect()}
+    want = exact.fold_v2(exact._stream(seats, modes).toPandas(), state).sort_values(["session_id", "user_id"]).reset_index(drop=True)
+    assert len(got) == len(want) > 100 and (got.to_numpy() == want[got.columns].to_numpy()).all()
+
+
 def test_v2_slices_cover_all_sessions(spark, sf, monkeypatch):
     from tidemark.plans import ratings as q
 

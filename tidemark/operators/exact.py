@@ -1,8 +1,8 @@
 """Exact, order-dependent rating folds over a bounded stream, and slice-wise rating for larger ones.
 
-Both variants change the state that the next session reads, so the exact fold is sequential by nature. It
-runs as one group behind a check of its size; beyond it ``rate_slices`` evaluates time slices against the
-board at their start, each slice as one distributed plan.
+Both variants change the state that the next session reads, so the exact fold is sequential by nature inside
+each set of sessions that depend on each other. Such a set is one group behind a check of its size; beyond it
+``rate_slices`` evaluates time slices against the board at their start, each slice as one distributed plan.
 """
 
 from __future__ import annotations
@@ -127,20 +127,50 @@ def _stream(seats: DataFrame, modes: DataFrame) -> DataFrame:
     return seats.where(F.col("faction").isin(*R.SIDES)).join(g, "session_id").join(at, "session_id").select("session_id", "user_id", "at", "score", "won", "quit", "top20", "faction", "total_score")
 
 
+def components(edges: DataFrame, left: str, right: str) -> DataFrame:
+    """(left, component): parts of a two-sided graph that share nothing, named by their smallest ``right`` key.
+
+    Labels pass over the edges and, by looking up the label of the label, over twice the distance each round, so the
+    rounds grow with the logarithm of the longest chain. Only a count comes to the driver."""
+    edges = cut(edges.select(left, right).distinct())
+    label = cut(edges.select(right).distinct().withColumn("l", F.col(right)))
+    while True:
+        near = edges.join(label, right).groupBy(left).agg(F.min("l").alias("l"))
+        spread = edges.join(near, left).groupBy(right).agg(F.min("l").alias("l"))
+        far = label.select(F.col(right).alias("l"), F.col("l").alias("_far"))
+        after = cut(spread.join(far, "l", "left").select(right, F.least("l", "_far").alias("l")))
+        moved = after.join(label.withColumnRenamed("l", "_l"), right).where("l <> _l").count()
+        label = after
+        if not moved:
+            return edges.join(label, right).groupBy(left).agg(F.min("l").alias("component"))
+
+
 def rate_exact(seats: DataFrame, board: DataFrame, modes: DataFrame, variant: str, most_rows: int = 5_000_000) -> DataFrame:
-    """Change log of the exact fold. The group is bounded: more than ``most_rows`` seats or users is an error."""
+    """Change log of the exact fold.
+
+    Variant 2 changes only the members of a session, so sessions that share no user, not even over others, are folded
+    side by side: one group per connected component. Variant 1 looks up the scores of all users, so its stream
+    is one group. A group of more than ``most_rows`` seats is an error: its order is sequential by nature."""
     stream = cut(_stream(seats, modes))
-    users = cut(board.select("user_id", "mmr", "battles", "battle_score"))
-    if stream.count() > most_rows or users.count() > most_rows:
-        raise ValueError("too many rows for the sequential fold; use rate_slices")
+    users = board.select("user_id", "mmr", "battles", "battle_score")
     fold: Callable = {"v1": fold_v1, "v2": fold_v2}[variant]
+    if variant == "v2":
+        part = components(stream, "session_id", "user_id")
+        stream = cut(stream.join(part, "session_id").withColumnRenamed("component", "g"))
+        # A column of its own: both sides of the grouping come from the stream.
+        users = cut(users.join(stream.select("user_id", "g").distinct(), "user_id").withColumn("g", F.col("g") + 0))
+    else:
+        stream, users = stream.withColumn("g", F.lit(1).cast("long")), users.withColumn("g", F.lit(1).cast("long"))
+        if users.count() > most_rows:
+            raise ValueError("too many users for the sequential fold; use rate_slices")
+    if (stream.groupBy("g").count().agg(F.max("count")).first()[0] or 0) > most_rows:
+        raise ValueError("too many rows for the sequential fold; use rate_slices")
 
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         state = {r.user_id: [r.mmr, r.battles, r.battle_score] for r in b.itertuples()}
-        return fold(a, state)
+        return fold(a.drop(columns="g"), state)
 
-    one = F.lit(1).alias("g")
-    return stream.select("*", one).groupBy("g").cogroup(users.select("*", one).groupBy("g")).applyInPandas(run, CHANGES)
+    return stream.groupBy("g").cogroup(users.groupBy("g")).applyInPandas(run, CHANGES)
 
 
 def slice_edges(seats: DataFrame, start: int, length: int) -> list[int]:

@@ -50,23 +50,32 @@ def bucket_stats_merged(s, d):
     return C.merge_stats(part(old), part(~old))
 
 
-VALIDATE = CATCH + """, b as (select "name", long k, sum(mass)::bigint // count(*) v from c where "name" is not null and long is not null and mass is not null and ts < timestamp '2013-01-20' group by 1, 2),
+def _validate_sql(k: str, v: str, p: str) -> str:
+    return CATCH + f""", b as (select "name", {k} k, sum({v})::bigint // count(*) v from c where "name" is not null and {k} is not null and {v} is not null and ts < timestamp '2013-01-20' group by 1, 2),
 b2 as (select *, lag(k) over (partition by "name" order by k) k1, lag(v) over (partition by "name" order by k) v1 from b),
-p as (select catch_id, "name", long, mass from c where ts >= timestamp '2013-01-20'),
-j as (select p.*, k k0, v v0, k1, v1 from p asof left join b2 on p."name" = b2."name" and p.long >= b2.k),
-g as (select *, k0 is not null and (k0 = long or coalesce(k1, 0) <> 0) enough,
-  case when k0 = long then v0 else greatest(trunc((v0 - v1) / nullif(k0 - k1, 0) * long + (v1 - (v0 - v1) / nullif(k0 - k1, 0) * k1)), 0) end guess from j),
-e as (select *, case when enough and mass is not null then abs(mass - guess)::double end lm_err from g)
-select catch_id, "name", long, mass, round(lm_err, 3) lm_err, case when long is null or mass is null then null when not enough then 'NotEnoughData' when coalesce(lm_err / nullif(guess, 0) <= 0.05, false) then 'FullAccuracy' else 'FullyNotSure' end lm_mark from e"""
+p as (select catch_id, "name", {k}, {v} from c where ts >= timestamp '2013-01-20'),
+j as (select p.*, k k0, v v0, k1, v1 from p asof left join b2 on p."name" = b2."name" and p.{k} >= b2.k),
+g as (select *, k0 is not null and (k0 = {k} or coalesce(k1, 0) <> 0) enough,
+  case when k0 = {k} then v0 else greatest(trunc((v0 - v1) / nullif(k0 - k1, 0) * {k} + (v1 - (v0 - v1) / nullif(k0 - k1, 0) * k1)), 0) end guess from j),
+e as (select *, case when enough and {v} is not null then abs({v} - guess)::double end {p}_err from g)
+select catch_id, "name", {k}, {v}, round({p}_err, 3) {p}_err, case when {k} is null or {v} is null then null when not enough then 'NotEnoughData' when coalesce({p}_err / nullif(guess, 0) <= 0.05, false) then 'FullAccuracy' else 'FullyNotSure' end {p}_mark from e"""
 
 
-@query(VALIDATE)
-def validate_pairs(s, d):
+def _validated(s, d, k: str, v: str, p: str):
     c = _catches(s, d)
     old = F.col("ts") < F.lit("2013-01-20").cast("timestamp_ntz")
-    stats = C.bucket_stats(c.where(old), "name", "long", "mass")
-    v = C.validate(c.where(~old).select("catch_id", "name", "long", "mass"), stats, "name", "long", "mass", "lm")
-    return v.select("catch_id", "name", "long", "mass", F.round("lm_err", 3).alias("lm_err"), "lm_mark")
+    stats = C.bucket_stats(c.where(old), "name", k, v)
+    return C.validate(c.where(~old).select("catch_id", "name", k, v), stats, "name", k, v, p).select("catch_id", "name", k, v, F.round(f"{p}_err", 3).alias(f"{p}_err"), f"{p}_mark")
+
+
+@query(_validate_sql("long", "mass", "lm"))
+def validate_pairs(s, d):
+    return _validated(s, d, "long", "mass", "lm")
+
+
+@query(_validate_sql("mass", "exp_sum", "me"))
+def validate_exp(s, d):
+    return _validated(s, d, "mass", "exp_sum", "me")
 
 
 _dev = " union all ".join(f"select '{a}' device, {b}::double rig_mul, {c}::double light_mul" for a, b, c in DEVICES)
