@@ -193,7 +193,12 @@ def nearest_peers(s, d):
     return s.createDataFrame(found, "cluster int, peer int, distance double").withColumn("distance", F.round("distance", 4))
 
 
-@query()
+@query("with recursive " + ASSIGN_SQL.removeprefix("with ") + """, m as (select cluster, x, avg(y) y from (select cluster, unnest(v) y, generate_subscripts(v, 1) x from a join e using (id)) group by 1, 2),
+n as (select p.cluster, q.cluster peer, sqrt(sum((p.y - q.y) * (p.y - q.y))) dist from m p join m q on p.x = q.x and p.cluster <> q.cluster group by 1, 2),
+r as (select 0::bigint i, []::bigint[] gone, []::bigint[] home union all
+  select i + 1, case when o.d < 0.5 then gone || [i] else gone end, case when o.d < 0.5 then home || [o.p] else home end
+  from r, lateral (select min(dist) d, arg_min(peer, row(dist, peer)) p from n where n.cluster = r.i and not list_contains(r.gone, n.peer)) o where i < 8)
+select unnest(gone)::int cluster, unnest(home)::int merged_into from r where i = 8""")
 def cluster_dups(s, d):
     """Near-equal centroids of the assignment and the peer they merge into."""
     gone = S.duplicates(S.collect_centroids(S.means(_assigned(s, d))), 0.5, EUCLID)

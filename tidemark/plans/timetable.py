@@ -69,7 +69,19 @@ def hms_roundtrip(s, d):
     return t.withColumn("back", T.parse_hms(F.col("txt")))
 
 
-@query()
+# One step per run and day: the first free opposite run within a minute after arrival, else the earliest free run as a new shift.
+SHIFTS = CTE.replace("with d(", "with recursive d(", 1) + """, f as (select (time_s // 86400)::int "day", coalesce(list(time_s order by time_s) filter (where side = 'Right'), []::bigint[]) r, coalesce(list(time_s order by time_s) filter (where side = 'Back'), []::bigint[]) b from runs group by 1),
+s as (select "day", r, b, -1 shift_id, 0 seq, '' side, -1000000::bigint time_s from f union all
+  select "day", case when pick = 'Right' then list_filter(r, lambda x: x <> t) else r end, case when pick = 'Back' then list_filter(b, lambda x: x <> t) else b end,
+    case when go then shift_id else shift_id + 1 end, case when go then seq + 1 else 0 end, pick, t
+  from (select *, case when go then case when side = 'Right' then 'Back' else 'Right' end when coalesce(r[1] <= b[1], len(r) > 0) then 'Right' else 'Back' end pick,
+      case when go then cand when coalesce(r[1] <= b[1], len(r) > 0) then r[1] else b[1] end t
+    from (select *, coalesce(cand <= time_s + 3420, false) go
+      from (select *, list_filter(case when side = 'Right' then b else r end, lambda x: x >= time_s + 3360)[1] cand from s where len(r) + len(b) > 0))))
+"""
+
+
+@query(SHIFTS + """select "day", shift_id, seq, side, time_s from s where shift_id >= 0""")
 def timetable_shifts(s, d):
     return T.shifts(_runs(s), DURATION)
 
