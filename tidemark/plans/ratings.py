@@ -273,7 +273,37 @@ def v1_exact(s, d):
     return rate_exact(_seats(s, d), _board(s, d), _modes(s, d), "v1")
 
 
-@query()
+# The sessions of the fold in order, with their members by user.
+FOLD = CTE.replace("with seats", "with recursive seats", 1) + """, ses as (
+  select session_id, (select min(commit_time) from seats a where a.session_id = g.session_id) at_, any_value(total_score) total_score,
+    list({'u': user_id, 'score': score, 'won': won, 'quit': quit, 'top20': top20, 'faction': faction} order by user_id) m
+  from gate g join seats s using (session_id) where faction in ('faction_1', 'faction_2') group by session_id),
+ord as materialized (select *, row_number() over (order by at_, session_id) n from ses)
+"""
+
+
+# The board is a map user -> (mmr, battles) that one step per session reads and replaces.
+@query(FOLD + """, r as (
+  select 0::bigint n, map_from_entries(list({'k': user_id, 'v': {'mmr': mmr, 'battles': battles}})) b, 0::bigint session_id, 0::bigint at_, []::struct(u bigint, delta bigint, mmr bigint, battles bigint)[] c from board
+  where user_id in (select unnest(m).u from ses)
+  union all
+  select n, map_from_entries(list_filter(map_entries(b), lambda e: not list_contains(ids, e.key)) || list_transform(c, lambda e: {'key': e.u, 'value': {'mmr': e.mmr, 'battles': e.battles}})), session_id, at_, c
+  from (
+    select n, b, session_id, at_, list_transform(l, lambda e: e.u) ids, list_transform(list_transform(l, lambda e: {'u': e.u, 'mm': e.mm, 'bt': e.bt,
+        'd': coalesce(case when norm <> 0 then greatest(least(trunc(pool * e.adj * e.inc / (norm * e.k) - e.m * (e.dec_ + e.get_) / e.k), 2147483647), -2147483648) end, 0)::bigint}),
+      lambda e: {'u': e.u, 'delta': e.d, 'mmr': greatest(e.mm + e.d, 0), 'battles': e.bt + 1}) c
+    from (
+      select *, list_sum(list_transform(l, lambda e: (e.dec_ + e.get_) * e.m * e.k + e.give * greatest(avg_mmr, 500) - e.get_ * e.m)) pool, list_sum(list_transform(l, lambda e: e.inc / e.k * e.adj)) norm
+      from (
+        select * exclude (l), list_transform(l, lambda e: {'u': e.u, 'mm': e.mm, 'bt': e.bt, 'm': e.m, 'k': e.k, 'adj': e.adj, 'give': 1 - 1 / (1 + exp(-0.01 * (e.m - 500.0))) + 0.2 * (1 - e.k), 'get_': 0.05 / (1 + exp(-0.01 * (e.m - 9500.0))),
+          'dec_': 0.5 / (8 * pow(case when avg_mmr = e.m or e.m < 1e-8 then 1 else avg_mmr / e.m end, 0.35) + 1), 'inc': 0.5 / (4 * (case when avg_mmr = e.m or avg_mmr < 1e-8 then 1 else e.m / avg_mmr end) + 1)}) l
+        from (
+          select *, list_sum(list_transform(l, lambda e: e.m * e.k)) / list_sum(list_transform(l, lambda e: e.k)) avg_mmr
+          from (
+            select o.n, r.b, o.session_id, o.at_, list_transform(list_transform(o.m, lambda e: {'e': e, 'mm': coalesce(r.b[e.u].mmr, 0), 'bt': coalesce(r.b[e.u].battles, 0)}), lambda x: {'u': x.e.u, 'mm': x.mm, 'bt': x.bt, 'm': x.mm::double,
+              'k': pow(sqrt(2.0), least(0, x.bt - 6)), 'adj': greatest(x.e.score + case when x.e.won then x.e.score // 4 else 0 end + case when x.e.top20 then x.e.score // 4 else 0 end - case when x.e.quit then x.e.score // 2 else 0 end, 0)}) l
+            from r join ord o on o.n = r.n + 1))))))
+select session_id, c.u user_id, at_ as "at", c.delta delta, c.mmr mmr, c.battles battles from (select session_id, at_, unnest(c) c from r)""")
 def v2_exact(s, d):
     from tidemark.operators.exact import rate_exact
 
