@@ -90,21 +90,52 @@ def top3(rated: DataFrame) -> DataFrame:
     return rated.groupBy("session_id").agg(*cols)
 
 
+def session_facts(seats: DataFrame, board: DataFrame, modes: DataFrame, registrations: DataFrame | None = None) -> DataFrame:
+    """Rated sessions with sides' sizes, top-3 means, results and, with registrations, newbie counts, in one pass.
+
+    Seats meet the board (and registrations) once and are aggregated by session once. The first three of a side that
+    count are its three best calibrated ratings, so a side's list of ratings (bounded by its members) is enough."""
+    b = board.select("user_id", F.col("mmr").alias("_mmr"), F.col("battles").alias("_battles"))
+    x = seats.join(b, "user_id", "left")
+    if registrations is not None:
+        x = _with_age(x, registrations)
+    side = [F.col("faction") == s for s in SIDES]
+    aggs = [F.sum("score").alias("total_score")]
+    for i, mine in enumerate(side, 1):
+        aggs += [F.count_if(mine).alias(f"n{i}"), F.coalesce(F.bool_or(mine & F.col("won")), F.lit(False)).alias(f"won{i}"), F.collect_list(F.when(mine & num.calibrated(F.col("_battles")), F.coalesce("_mmr", F.lit(0)))).alias(f"_best{i}")]
+    if registrations is not None:
+        aggs += [F.count_if(F.col("newbie") & m).alias(f"new{i}") for i, m in enumerate(side, 1)]
+        first = F.col("newbie") & side[0]
+        aggs += [F.count_if(first & (F.col("team") == t)).alias(f"new1_team{t}") for t in (1, 2)] + [F.count_if(first & (F.col("team") == t) & F.col("won")).alias(f"won1_team{t}") for t in (1, 2)]
+    common, specific = mode_names(F.col("mode"))
+    g = (
+        x.groupBy("session_id").agg(*aggs).where((F.col("n1") >= LEAST_PER_SIDE) & (F.col("n2") >= LEAST_PER_SIDE))
+        .join(modes.select("session_id", "mode", common.alias("common"), specific.alias("specific")), "session_id").where(F.col("common") != "newbie_common")
+    )
+    for i in (1, 2):
+        top = F.slice(F.sort_array(f"_best{i}", asc=False), 1, 3)
+        g = g.withColumn(f"top{i}", num.int_div(F.aggregate(top, F.lit(0).cast("long"), lambda t, v: t + v), F.size(top)))
+    gap = F.col("top1") - F.col("top2")
+    return g.drop("_best1", "_best2").withColumns({"disbalance_1": F.coalesce(gap > GAP, F.lit(False)), "disbalance_2": F.coalesce(gap < -GAP, F.lit(False))})
+
+
+BALANCE = ("session_id", "common", "specific", "n1", "n2", "total_score", "top1", "top2", "won1", "won2", "disbalance_1", "disbalance_2", "mode")
+
+
 def session_balance(seats: DataFrame, board: DataFrame, modes: DataFrame) -> DataFrame:
     """One row per rated session: sides' sizes, top-3 means, results and disbalance flags."""
-    t = gate(seats, modes).join(top3(rated_seats(seats, board)), "session_id")
-    gap = F.col("top1") - F.col("top2")
-    return t.select(
-        "session_id", "common", "specific", "n1", "n2", "total_score", "top1", "top2", "won1", "won2",
-        F.coalesce(gap > GAP, F.lit(False)).alias("disbalance_1"), F.coalesce(gap < -GAP, F.lit(False)).alias("disbalance_2"), "mode",
-    )
+    return session_facts(seats, board, modes).select(*BALANCE)
 
 
-def newbies(seats: DataFrame, registrations: DataFrame) -> DataFrame:
-    """Seats of both sides with ``newbie``: within 24 hours after a registration (strictly, null never)."""
+def _with_age(seats: DataFrame, registrations: DataFrame) -> DataFrame:
     reg = registrations.where(F.col("user_id").isNotNull()).groupBy("user_id").agg(F.max("registered_time").alias("_reg"))
     age = F.col("commit_time") - F.coalesce("_reg", F.lit(0))
-    return seats.where(F.col("faction").isin(*SIDES)).join(reg, "user_id", "left").withColumn("newbie", F.col("_reg").isNotNull() & (age > 0) & (age < NEWBIE_MS)).drop("_reg")
+    return seats.join(reg, "user_id", "left").withColumn("newbie", F.col("_reg").isNotNull() & (age > 0) & (age < NEWBIE_MS)).drop("_reg")
+
+
+def newbies(seats: DataFrame, registrations: DataFrame) -> DataFrame:
+    """Seats of both sides with ``newbie``: within 24 hours after a registration (strictly, null never)."""
+    return _with_age(seats.where(F.col("faction").isin(*SIDES)), registrations)
 
 
 STATISTICS = (
@@ -118,12 +149,7 @@ def board_statistics(seats: DataFrame, board: DataFrame, modes: DataFrame, regis
     """The 13 counters per board; a session counts for 'common', its mode, the common and the specific mode.
 
     Per-user newbie counters look at the first side only; a board named twice by a session counts it twice."""
-    new = newbies(seats, registrations).groupBy("session_id").agg(
-        *[F.count_if(F.col("newbie") & (F.col("faction") == s)).alias(f"new{i}") for i, s in enumerate(SIDES, 1)],
-        *[F.count_if(F.col("newbie") & (F.col("faction") == SIDES[0]) & (F.col("team") == t)).alias(f"new1_team{t}") for t in (1, 2)],
-        *[F.count_if(F.col("newbie") & (F.col("faction") == SIDES[0]) & (F.col("team") == t) & F.col("won")).alias(f"won1_team{t}") for t in (1, 2)],
-    )
-    s = session_balance(seats, board, modes).join(new, "session_id")
+    s = session_facts(seats, board, modes, registrations)
     d1, d2 = F.col("disbalance_1"), F.col("disbalance_2")
     one = lambda c: F.when(c, 1).otherwise(0)
     r1, r2 = F.col("new1") / F.col("n1"), F.col("new2") / F.col("n2")
