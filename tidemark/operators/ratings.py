@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import numeric as num
 from tidemark.operators.asof import before_last, before_max
-from tidemark.session import cut
 
 SIDES = ("faction_1", "faction_2")
 GAP = 800
@@ -228,31 +227,27 @@ def delta_v1(won: Column, score: Column, opp: Column, mmr: Column, known: Column
     return F.when(won, F.greatest(num.sat_int(base + mul * 35.0), F.lit(0))).otherwise(num.sat_int(base - mul * 35.0))
 
 
-def side_results(rated: DataFrame) -> DataFrame:
-    """Rated seats with their session's results (won1, won2) and the other side's attenuated mean rating (opp).
-
-    Both come from one aggregate row per side, of which a session has two."""
-    top = F.max(F.when(F.col("mmr_type") == "MMR", F.col("mmr"))).over(Window.partitionBy("session_id", "faction"))
-    x = rated.withColumn("_top", top)
-    v = F.when(F.col("mmr_type") == "MMR", F.col("mmr") * num.low_place_weight(F.col("mmr"), F.col("_top")))
-    x = x.withColumn("_v", v).withColumn("_m", F.max("_v").over(Window.partitionBy("session_id", "faction")))
-    part = F.when(F.col("_v").isNotNull(), F.when(F.col("_m") < 1e-7, F.lit(1.0)).otherwise(F.try_divide(F.col("_top").cast("double"), F.col("_m")) * F.col("_v")))
-    side = x.groupBy("session_id", "faction").agg(F.when(F.count(part) > 2, num.sat_int(F.sum(part) / F.count(part), 0, num.UINT_MAX)).alias("opp"), F.bool_or("won").alias("won"))
-    of = lambda c, f: F.max(F.when(F.col("faction") == f, F.col(c)))
-    return side.groupBy("session_id").agg(*[of("opp", f).alias(f"opp{i}") for i, f in enumerate(SIDES, 1)], *[F.coalesce(of("won", f), F.lit(False)).alias(f"won{i}") for i, f in enumerate(SIDES, 1)])
-
-
 def v1_snapshot(seats: DataFrame, board: DataFrame, modes: DataFrame) -> DataFrame:
     """Changes of variant 1 of every rated session against one fixed leaderboard.
 
-    The rated seats feed the sides' aggregates and the changes, so they are cut once."""
-    rated = cut(rated_seats(seats, board))
-    g = gate(seats, modes).select("session_id", "n1", "n2", "total_score").join(side_results(rated), "session_id")
-    x = rated.join(g, "session_id")
-    first = F.col("faction") == SIDES[0]
-    x = x.withColumn("opp", F.when(first, F.col("opp2")).otherwise(F.col("opp1")))
+    Everything a seat needs of its session (sizes, score, results, the other side's ratings) comes from one window
+    over the session; lists of ratings are bounded by a side's members."""
+    b = board.select("user_id", F.col("mmr").alias("_mmr"), F.col("battles").alias("_battles"))
+    x = seats.join(b, "user_id", "left").select("*", F.coalesce("_mmr", F.lit(0)).alias("mmr"), num.rating_kind(F.col("_battles")).alias("mmr_type"))
+    ses, side, known = Window.partitionBy("session_id"), [F.col("faction") == s for s in SIDES], F.col("mmr_type") == "MMR"
+    x = x.select(
+        "session_id", "user_id", "faction", "mmr", "mmr_type", "score", "quit", "top20", F.sum("score").over(ses).alias("total_score"),
+        *[c for i, m in enumerate(side, 1) for c in (
+            F.count_if(m).over(ses).alias(f"n{i}"), F.bool_or(m & F.col("won")).over(ses).alias(f"won{i}"), F.collect_list(F.when(m & known, F.col("mmr"))).over(ses).alias(f"_r{i}"))],
+    ).where(F.col("faction").isin(*SIDES) & (F.col("n1") >= LEAST_PER_SIDE) & (F.col("n2") >= LEAST_PER_SIDE))
+    x = x.join(modes.where(mode_names(F.col("mode"))[0] != "newbie_common").select("session_id"), "session_id")
+    first = side[0]
+    x = x.withColumn("_o", F.when(first, F.col("_r2")).otherwise(F.col("_r1"))).withColumn("_top", F.array_max("_o"))
+    x = x.withColumn("_v", F.transform("_o", lambda m: m * num.low_place_weight(m, F.col("_top")))).withColumn("_m", F.array_max("_v"))
+    share = F.when(F.col("_m") < 1e-7, F.size("_v").cast("double")).otherwise(F.try_divide(F.col("_top").cast("double"), F.col("_m")) * F.aggregate("_v", F.lit(0.0), lambda t, v: t + v))
+    x = x.withColumn("opp", F.when(F.size("_o") > 2, num.sat_int(share / F.size("_o"), 0, num.UINT_MAX)))
     x = x.withColumn("score_norm", num.sat_int(F.try_divide(1600.0 * (F.col("n1") + F.col("n2")), F.col("total_score").cast("double")) * F.col("score"), 0, num.UINT_MAX))
-    delta = delta_v1(F.when(first, F.col("won1")).otherwise(F.col("won2")), F.col("score_norm"), F.col("opp"), F.col("mmr"), F.col("mmr_type") == "MMR", F.col("quit"), F.col("top20"))
+    delta = delta_v1(F.when(first, F.col("won1")).otherwise(F.col("won2")), F.col("score_norm"), F.col("opp"), F.col("mmr"), known, F.col("quit"), F.col("top20"))
     return x.select("session_id", "user_id", "faction", "mmr", "mmr_type", "score_norm", "opp", delta.alias("delta"))
 
 
