@@ -204,3 +204,15 @@ def test_catch_pipeline(spark):
     assert (r["name"], r.mass, r.long, r.map, r.device, r.rig_mul) == ("river perch", 500, 30, "lake", "2", 1.8)
     plain = pipelines.catch_pipeline(t, config, devices, mul, stats, "t1", "lake", "1_2", use_device=False)
     assert plain.where("device is null").count() == len(got)
+
+
+def test_missing_vectors_and_matrices(spark):
+    """Null and empty values: no cluster for a series without values, null for a matrix without rows."""
+    v = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, []), (4, [0.0, 0.0])], "id long, v array<double>")
+    got = series.assign(v, np.array([[0.0, 0.0], [1.0, 1.0]]), series.ClusterConfig(metric="Euclidean")).collect()
+    assert sorted((r.id, r.cluster) for r in got) == [(1, 1), (4, 0)]
+    for cfg in (series.ClusterConfig(k_max=3, iterations=2), series.ClusterConfig(metric="Euclidean", barycenter_iterations=1, iterations=2)):
+        assert series.temporal_clusters(v.limit(0), cfg).count() == 0
+    m = spark.createDataFrame([(1, [[1.0, 2.0]]), (2, None), (3, [])], "id long, m array<array<double>>")
+    r = {x.id: (x.p, x.s) for x in m.select("id", kernels.pad_edge(F.col("m"), 1, 1).alias("p"), kernels.resize_nearest(F.col("m"), 1, 2).alias("s")).collect()}
+    assert r[1] == ([[1.0, 1.0, 2.0, 2.0]] * 3, [[1.0]] * 2) and r[2] == r[3] == (None, None)

@@ -31,9 +31,9 @@ def threshold(m: Column, least: float, high: float = 255.0, low: float = 0.0) ->
 
 
 def pad_edge(m: Column, rows: int, cols: int) -> Column:
-    """Repeats the border values outward."""
-    wide = F.transform(m, lambda r: F.concat(F.array_repeat(F.element_at(r, 1), cols), r, F.array_repeat(F.element_at(r, -1), cols)))
-    return F.concat(F.array_repeat(F.element_at(wide, 1), rows), wide, F.array_repeat(F.element_at(wide, -1), rows))
+    """Repeats the border values outward; null for an empty matrix."""
+    wide = F.transform(m, lambda r: F.concat(F.array_repeat(F.try_element_at(r, F.lit(1)), cols), r, F.array_repeat(F.try_element_at(r, F.lit(-1)), cols)))
+    return F.when(F.size(m) > 0, F.concat(F.array_repeat(F.try_element_at(wide, F.lit(1)), rows), wide, F.array_repeat(F.try_element_at(wide, F.lit(-1)), rows)))
 
 
 def pad_zero(m: Column, rows: int, cols: int) -> Column:
@@ -44,9 +44,10 @@ def pad_zero(m: Column, rows: int, cols: int) -> Column:
 
 
 def resize_nearest(m: Column, width: int, height: int) -> Column:
-    pick = lambda a, i, n: F.element_at(a, (F.floor(i * F.size(a) / n) + 1).cast("int"))
+    """Nearest value up or left of each place; null for an empty matrix."""
+    pick = lambda a, i, n: F.try_element_at(a, (F.floor(i * F.size(a) / n) + 1).cast("int"))
     cols = lambda r: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: pick(r, j, width))
-    return F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda i: cols(pick(m, i, height)))
+    return F.when(F.size(m) > 0, F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda i: cols(pick(m, i, height))))
 
 
 def _batches(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
