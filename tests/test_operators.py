@@ -141,6 +141,29 @@ def test_dtw(spark):
     assert series.dtw_table(x[0], x, None)[0, -1, -1] == 0 and series.warp_path(series.dtw_table(x[0], x, None)[0]) == [(0, 0), (1, 1), (2, 2)]
 
 
+def test_euclid_sparse_moves_no_pairs(spark):
+    rng = random.Random(2)
+    value = lambda: rng.choice([None, float("inf"), 1.5, *[rng.random() * 9 for _ in range(9)]])
+    rows = [(i, x, value()) for i in range(60) for x in range(12 if i % 2 else 40) if rng.random() < (0.9 if i % 3 else 0.2)] + [(99, 7, None)]
+    by = {}
+    for i, x, y in rows:
+        by.setdefault(i, {})[x] = y
+    want = {}
+    for a in (i for i in by if i % 7 == 0 or i == 99):
+        for b in by:
+            both = by[a].keys() & by[b].keys()
+            terms = [(by[a][x] - by[b][x]) ** 2 for x in both if None not in (by[a][x], by[b][x])]
+            if both:
+                want[a, b] = math.sqrt(sum(terms)) if terms else None
+    p = series.spread(series.pack(spark.createDataFrame(rows, "id long, x long, y double")))
+    df = series.search(p, p.where("id % 7 = 0 or id = 99"), series.sparse_kernel(cells=100), block=8)
+    got = {(r.id1, r.id2): r.distance for r in df.collect()}
+    assert got.keys() == want.keys() and None in want.values()
+    assert all(got[k] == pytest.approx(w, nan_ok=True) if w is not None else got[k] is None for k, w in want.items())
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert series.euclid_sparse(p, p.where("id < 0")).count() == 0
+
+
 def test_kmeans(spark):
     rng = np.random.default_rng(1)
     rows = [(i, (np.ones(6) * (i % 3) * 5 + rng.normal(0, 0.1, 6)).tolist()) for i in range(90)]
