@@ -164,6 +164,23 @@ def test_euclid_sparse_moves_no_pairs(spark):
     assert series.euclid_sparse(p, p.where("id < 0")).count() == 0
 
 
+def test_dtw_search_equals_the_column_and_runs_in_arrow(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.random(rng.choice([1, 3, 6, 7])).tolist()) for i in range(40)]
+    rows += [(40, [None, None]), (41, []), (42, None), (43, [float("nan"), 1.0, float("inf")]), (44, [1e200, 2.0, 0.5])]
+    df = series.spread(spark.createDataFrame(rows, "id long, v array<double>"))
+    pairs = series.against_all(df, df.where("id % 4 = 0 or id > 39"))
+    for window in (None, 0, 2, 3):
+        want = {(r.id1, r.id2): r.d for r in pairs.select("id1", "id2", series.dtw(F.col("a"), F.col("b"), window).alias("d")).collect()}
+        want |= {k: None for k in want if 40 in k}  # a null place leaves no distance; the column reads it as 0
+        out = series.search(df, df.where("id % 4 = 0 or id > 39"), series.dtw_kernel(window, cells=7), block=10)
+        got = {(r.id1, r.id2): r.distance for r in out.collect()}
+        assert got.keys() == want.keys() and len(got) == 15 * 45
+        assert all((got[k] is None) == (w is None) and (w is None or got[k] == w or math.isnan(got[k]) and math.isnan(w)) for k, w in want.items())
+    plan = series.dtw_search(df, df.where("id = 0"), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "aggregate(" not in plan
+
+
 def test_kmeans(spark):
     rng = np.random.default_rng(1)
     rows = [(i, (np.ones(6) * (i % 3) * 5 + rng.normal(0, 0.1, 6)).tolist()) for i in range(90)]
