@@ -84,6 +84,46 @@ def test_components(spark):
     assert exact.components(spark.createDataFrame([], "session_id long, user_id long"), "session_id", "user_id").count() == 0
 
 
+def test_parts_by_hubs(spark):
+    rng = random.Random(3)
+    # Stars around three hubs, two of them linked by a shared user only, pairs beside them that reach a hub's user, and loners.
+    edges = [(s, 900 + s % 3) for s in range(60)] + [(s, 10 * (s % 3) + rng.randrange(8)) for s in range(60)] + [(0, 777), (1, 777)]
+    edges += [(100, 2), (100, 600), (101, 600), (101, 601), (200, 700), (200, 701), (201, 701)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for s, u in edges:
+        parent[root(("s", s))] = root(("u", u))
+    least = {}
+    for _, u in edges:
+        r = root(("u", u))
+        least[r] = min(least.get(r, u), u)
+    df = spark.createDataFrame(edges, "session_id long, user_id long")
+    for hubs in (0, 1, 3, 60):
+        s, u = exact.parts(df, "session_id", "user_id", hubs)
+        assert sorted(map(tuple, s.collect())) == sorted({(x, least[root(("s", x))]) for x, _ in edges})
+        assert sorted(map(tuple, u.collect())) == sorted({(x, least[root(("u", x))]) for _, x in edges})
+
+
+def test_v2_streams_groups_of_any_size(spark, sf):
+    from tidemark.plans import ratings as q
+
+    seats, board, modes = q._seats(spark, sf), q._board(spark, sf), q._modes(spark, sf)
+    state = {r.user_id: [r.mmr, r.battles, r.battle_score] for r in board.collect()}
+    want = exact.fold_v2(exact._stream(seats, modes).toPandas(), state)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # sessions go on over the ends of batches
+    try:
+        got = exact.rate_exact(seats, board, modes, "v2", most_rows=3).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    key = ["session_id", "user_id"]
+    assert len(got) > 100 and (got.sort_values(key).to_numpy() == want.sort_values(key)[got.columns].to_numpy()).all()
+
+
 def test_v2_by_components_equals_one_fold(spark, sf):
     from tidemark.plans import ratings as q
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import numeric as num
 from tidemark.operators import ratings as R
-from tidemark.session import table
+from tidemark.session import slots, table
 
 
 def _seats(s: SparkSession, d: str) -> DataFrame:
@@ -307,7 +307,9 @@ select session_id, c.u user_id, at_ as "at", c.delta delta, c.mmr mmr, c.battles
 def v2_exact(s, d):
     from tidemark.operators.exact import rate_exact
 
-    return rate_exact(_seats(s, d), _board(s, d), _modes(s, d), "v2")
+    # By session from the start: cleaning, counting and the fold's components then need no exchange of all seats.
+    seats = R.clean_seats(table(s, d, "battle_rows").repartition(slots(s), "session_id"))
+    return rate_exact(seats, _board(s, d), _modes(s, d), "v2")
 
 
 @query()
