@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import numeric as num
 from tidemark.operators import asof, catches, exact, kernels, monitor, ratings, series, timetable
+from tidemark.plans import series as series_plan
 from tidemark.sources import lines, sinks
 
 
@@ -221,6 +222,30 @@ def test_dtw_search_equals_the_column_and_runs_in_arrow(spark):
     assert "MapInArrow" in plan and "aggregate(" not in plan
 
 
+def test_dtw_banded_asks_every_series(spark, tmp_path):
+    """No id here is a fiftieth one; each is asked all the same, and ids 7 and 8 (zeros only) have rows without distance."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(6)
+    ids = [1, 7, 8, 49, 51, 99, 101, None]
+    rows = [(u, f"2024-01-0{k % 5 + 1} {rng.randrange(24):02d}:00:00", 0.0 if u in (7, 8) else rng.random() * 9) for u in ids for k in range(9)]
+    spark.createDataFrame(rows, "user_id long, ts string, value double").withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r.id1, r.id2): r.distance for r in series_plan.dtw_banded(spark, str(tmp_path)).collect()}
+    v = {u: np.zeros(24) for u in ids if u}
+    for u, t, y in rows:
+        if u:
+            v[u][int(t[11:13])] += y
+    norm = {u: 2 * x / (3 * math.sqrt((x * x).mean())) if x.any() else None for u, x in v.items()}
+    assert got.keys() == {(a, b) for a in norm for b in norm} and len(got) == 49
+    assert all((d is None) == (norm[a] is None or norm[b] is None) and (d is None or d == pytest.approx(py_dtw(norm[a], norm[b], 3), abs=1e-4)) for (a, b), d in got.items())
+    duck = duckdb.connect()
+    duck.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = {(a, b): d for a, b, d in duck.execute(series_plan.ORACLE["dtw_banded"]).fetchall()}
+    assert got == want
+    x = np.concatenate([np.random.default_rng(8).random(2000) * 30, np.arange(2000) / 2e4, np.nextafter(np.arange(2000) / 2e4, 9), [np.inf, 1e305, 5e15 + 0.5]])
+    assert series.half_up(x, 4).tolist() == duck.execute("select list_transform(?::double[], lambda v: round(v, 4))", [x.tolist()]).fetchone()[0]
+    assert np.isnan(series.half_up(np.array([np.nan]), 4)).all()
+
+
 def test_kmeans(spark):
     rng = np.random.default_rng(1)
     rows = [(i, (np.ones(6) * (i % 3) * 5 + rng.normal(0, 0.1, 6)).tolist()) for i in range(90)]
